@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, new_dir
+from .shared import SPACE, new_dir, table
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "spark.sql.streaming.stateStore.providerClass"
@@ -77,14 +77,20 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
     listed = spark.read.schema(schema).parquet(path)
     joined = listed.join(state, "digest")
-    off = _unequal(rows, joined, norm, digest)
+    off = table(_unequal(rows, joined, norm, digest).distinct(), "unequal")
     # A digest that stands for several texts is resolved by the texts themselves; others keep the state's answer.
-    plain = joined.join(off.select("digest").distinct(), "digest", "left_anti").select("doc_id", F.col("keep").alias("keep_id"), F.col("copies").alias("group_size"), "text_sha256", "n_chars")
+    plain = joined.join(off, "digest", "left_anti").select("doc_id", F.col("keep").alias("keep_id"), F.col("copies").alias("group_size"), "text_sha256", "n_chars")
+    if off.isEmpty():
+        return _answer(plain)
     texts = rows.select("doc_id", norm.alias("norm"), digest(norm).alias("digest"), sha256(norm).alias("text_sha256"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
-    split = texts.join(off.select("digest").distinct(), "digest", "left_semi")
+    split = texts.join(off, "digest", "left_semi")
     best = split.groupBy("digest", "norm").agg((-F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg")))["neg"]).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     told = split.join(best, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", "text_sha256", "n_chars")
-    return plain.unionByName(told).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return _answer(plain.unionByName(told))
+
+
+def _answer(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def _last_state(spark: SparkSession, updates: str) -> DataFrame:
@@ -112,7 +118,7 @@ def _unequal(rows: DataFrame, joined: DataFrame, norm: Column, digest: Callable[
     parts = F.ceil(F.col("copies") / HITS).cast("int")
     texts = rows.select("doc_id", F.xxhash64("text").alias("locator"), norm.alias("norm"))
     wanted = hit.select("doc_id", "locator", "digest", "copies", (F.col("doc_id") == F.col("keep")).alias("held")).distinct()
-    found = texts.join(wanted, ["doc_id", "locator"])
+    found = table(texts.join(wanted, ["doc_id", "locator"]), "hits")  # the only time that texts are moved
     kept = found.where("held").groupBy("digest").agg(F.first("norm").alias("kept_norm"), F.first("copies").alias("copies"))
     kept = kept.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     seen = found.where("not held").select("digest", "norm", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
