@@ -1,0 +1,111 @@
+"""Projections on Structured Streaming: continuous, debounced and triggered jobs, progress, overviews."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.query import EventQuery, accept_all
+
+
+@dataclass(frozen=True)
+class Progress:
+    """The newest time that was applied and the ids at that time."""
+
+    time_ns: int = -1
+    ids: tuple[str, ...] = ()
+
+    def remaining(self, events: DataFrame) -> DataFrame:
+        """Events not applied yet. The bound on the raw columns reaches the scan; at the bound, ids decide."""
+        later = events.where(F.col("time_ns") >= self.time_ns)
+        return later.where((F.col("time_ns") > self.time_ns) | ~F.col("id").isin(*self.ids)) if self.ids else later
+
+    def after(self, applied: DataFrame) -> Progress:
+        top = applied.agg(F.max("time_ns")).first()[0]
+        if top is None or top < self.time_ns:
+            return self
+        ids = tuple(r.id for r in applied.where(F.col("time_ns") == top).select("id").distinct().orderBy("id").collect())
+        return Progress(top, tuple(sorted({*ids, *(self.ids if top == self.time_ns else ())})))
+
+
+@dataclass
+class Job:
+    """Events of one run of a projection; queries of it share what is cached."""
+
+    events: DataFrame
+    progress: Progress
+    filters: tuple[EventQuery, ...] = ()
+    before: Callable[[DataFrame], DataFrame] | None = None  # rows to insert before events, with the event's own order columns
+    reset: bool = False
+
+    def pending(self) -> DataFrame:
+        rows = accept_all(self.events, *self.filters)
+        rows = rows if self.reset else self.progress.remaining(rows)
+        return rows if self.before is None else self.before(rows).unionByName(rows)
+
+    def of(self, *names: str) -> DataFrame:
+        return self.pending().where(F.col("aggregate_name").isin(*names))
+
+    def named(self, *names: str) -> DataFrame:
+        return self.pending().where(F.col("name").isin(*names))
+
+
+class Projection:
+    """``apply(rows, reset)`` folds a run's events into a target; progress makes repeated events harmless."""
+
+    def __init__(self, apply: Callable[[DataFrame, bool], None], guard: Column | None = None, progress: Progress = Progress()):
+        self._apply, self.guard, self.progress = apply, guard, progress
+
+    def run(self, job: Job) -> int:
+        rows = job.pending()
+        rows = (rows if self.guard is None else rows.where(self.guard)).persist()
+        try:
+            n = rows.count()
+            if n or job.reset:
+                self._apply(rows, job.reset)
+                self.progress = (Progress() if job.reset else self.progress).after(rows)
+            return n
+        finally:
+            rows.unpersist()
+
+
+def continuously(stream: DataFrame, projection: Projection, checkpoint: str, names: tuple[str, ...] = ("*",), debounce: str | None = None, query: EventQuery | None = None):
+    """Run the projection on every batch of new events; ``debounce`` (an interval) gathers what comes within it."""
+    if "*" not in names:
+        stream = stream.where(F.col("name").isin(*names))
+
+    def batch(rows: DataFrame, number: int) -> None:
+        projection.run(Job(rows, projection.progress, (query,) if query else ()))
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (writer.trigger(processingTime=debounce) if debounce else writer.trigger(availableNow=True)).start()
+
+
+def triggered(log: DataFrame, projection: Projection, query: EventQuery | None = None, reset: bool = False) -> int:
+    """One run over the whole log, from the projection's progress or, with ``reset``, from the start."""
+    return projection.run(Job(log, projection.progress, (query,) if query else (), reset=reset))
+
+
+def overview(stream: DataFrame, overlap: str = "1 minute") -> DataFrame:
+    """Running counts by name of a stream in which late events are read again: an id counts once within the overlap."""
+    timed = stream.withColumn("_ts", F.col("ts").cast("timestamp")).withWatermark("_ts", overlap)
+    return timed.dropDuplicatesWithinWatermark(["id"]).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def handlers(table: dict[str, list[Callable[[DataFrame], None]]]) -> Callable[[DataFrame, int], None]:
+    """A batch function that gives each handler the events of its name."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        try:
+            for name, functions in table.items():
+                rows = held if name == "*" else held.where(F.col("name") == name)
+                for f in functions:
+                    f(rows)
+        finally:
+            held.unpersist()
+
+    return run
