@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .shared import SPACE, new_dir, table
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "spark.sql.streaming.stateStore.providerClass"
+#: The session's settings while the stream starts: state on disk, without preallocated files for each of many small stores.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Hits on one retained copy that are compared in one task.
 HITS = 2000
 
@@ -66,13 +67,15 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     listed.write.option("compression", "zstd").parquet(path)
     schema = listed.schema
 
-    held = spark.conf.get(STATE, None)
-    spark.conf.set(STATE, ROCKS)
+    held = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
         fold_stream(stream, updates, new_dir(spark, "digest-checkpoint")).awaitTermination()
     finally:
-        spark.conf.set(STATE, held) if held else spark.conf.unset(STATE)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = _last_state(spark, updates)
 
     listed = spark.read.schema(schema).parquet(path)
