@@ -22,27 +22,25 @@ DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "true"}
 
 @dataclass
 class Mixture:
-    """Posterior model: log prior and, for each hashed word bucket, log likelihood of every domain."""
+    """Posterior model: log priors, and per domain the words that speak for or against it with their log likelihood ratios."""
 
     domains: list[str]
     prior: list[float]
-    buckets: int
-    weights: list[list[float]] = field(default_factory=list)  # [domain][bucket]
+    weights: list[dict[str, float]] = field(default_factory=list)
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE + "+"), "")
 
 
-def bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, rows: int = 20_000, vocabulary: int = 400) -> Mixture:
+    """Naive Bayes over the presence of words, from at most ``rows`` labelled rows chosen by a hash of the id.
 
-
-def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, rows: int = 20_000, buckets: int = 4096) -> Mixture:
-    """Multinomial naive Bayes over hashed distinct words, from at most ``rows`` labelled rows chosen by a hash of the id.
+    A domain's evidence is the ``vocabulary`` words whose number of documents in it lies furthest (in standard
+    deviations, five at least, and by a factor of e at least) from what its share of all documents makes likely.
 
     An id with several labels counts with the first domain that any of them meets; rows with null labels and
-    ids are passed over. The driver receives (domains x buckets) counts. Without labels the posterior is even.
+    ids are passed over. The driver receives (domains x vocabulary) words. Without labels the posterior is even.
     """
     domains = domains or DOMAINS
     names = list(domains)
@@ -57,35 +55,34 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | No
     prior = [math.log((shares.get(i, 0) + 1) / (total + len(names))) for i in range(len(names))]
     # at most ``rows`` rows of two numbers: a proven bound, so they may be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    seen = sample.select("domain", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("domain", bucket(F.col("word"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = [[0.0] * buckets for _ in names]
-    for r in seen:
-        counts[r["domain"]][r["bucket"]] += r["n"]
+    seen = sample.select("domain", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    n = [F.sum(F.when(F.col("domain") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(names))]
+    counts = table(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *n).where("n >= 20"), "word-counts")
+    in_sample = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = max(1, sum(in_sample.values()))
     weights = []
-    for row in counts:
-        total = sum(row)
-        weights.append([math.log((n + 0.5) / (total + 0.5 * buckets)) for n in row])
-    return Mixture(names, prior, buckets, weights)
+    for i in range(len(names)):
+        expected = F.col("n") * in_sample.get(i, 0) / size
+        ratio = F.ln((F.col(f"n{i}") + 1) / (expected + 1))
+        far = F.abs(F.col(f"n{i}") - expected) / F.sqrt(expected + 1)
+        best = counts.select("word", ratio.alias("w"), far.alias("z")).where("z > 5 and abs(w) > 1").orderBy(F.desc("z"), "word").limit(vocabulary).collect()
+        weights.append({r["word"]: r["w"] for r in best})
+    return Mixture(names, prior, weights)
 
 
 def posteriors(docs: DataFrame, model: Mixture, scale: float = 1.0) -> DataFrame:
-    """(doc_id, n_tokens, p): words of the whole text and the posterior over ``model.domains``.
-
-    Only how far a bucket's likelihood lies from the last domain's is summed, over the text's distinct words.
-    """
-    spark, k = docs.sparkSession, len(model.domains)
-    shifts = [[round(w - base, 5) for w, base in zip(row, model.weights[-1], strict=True)] for row in model.weights[:-1]]
-    # one row of (domains - 1) x buckets numbers: its size is fixed by the model's parameters
-    sheet = spark.createDataFrame([tuple(shifts)], ", ".join(f"s{i} array<double>" for i in range(k - 1)))
+    """(doc_id, n_tokens, p): words of the whole text and the posterior over ``model.domains``."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    hashed = rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.transform(F.array_distinct("w"), lambda x: bucket(x, model.buckets) + 1).alias("b"))
-    joined = hashed.join(F.broadcast(sheet), F.lit(True))
 
     def evidence(i: int) -> Column:
-        return F.aggregate("b", F.lit(model.prior[i] - model.prior[-1]), lambda acc, x: acc + F.element_at(f"s{i}", x) * scale)
-
-    sums = [evidence(i) for i in range(k - 1)]
-    logs = joined.select("doc_id", "n_tokens", F.array(*sums, F.lit(0.0)).alias("l"))
+        known = model.weights[i] if i < len(model.weights) else {}
+        if not known:
+            return F.lit(model.prior[i])
+        sheet = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+        hits = F.array_intersect(F.col("w"), F.array(*[F.lit(x) for x in sorted(known)]))
+        return F.aggregate(hits, F.lit(model.prior[i]), lambda acc, x: acc + F.element_at(sheet, x) * scale)
+
+    logs = rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array(*[evidence(i) for i in range(len(model.domains))]).alias("l"))
     top = logs.withColumn("m", F.array_max("l")).withColumn("l", F.transform("l", lambda x: F.exp(x - F.col("m"))))
     whole = F.aggregate("l", F.lit(0.0), lambda a, x: a + x)
     return top.withColumn("z", whole).select("doc_id", "n_tokens", F.transform("l", lambda x: x / F.col("z")).alias("p"))
