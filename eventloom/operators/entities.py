@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.query import EntityQuery
 
 ENTITY = ["aggregate_name", "aggregate_id"]
-_ORDERED = Window.partitionBy(*ENTITY).orderBy("aggregate_version", "time_ns", "id")
 
 
 def fold(events: DataFrame, **states: Column) -> DataFrame:
@@ -78,8 +77,9 @@ def next_versions(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 def monotone_times(events: DataFrame) -> DataFrame:
     """Times raised so that each event of an entity is at least 1 ns after the one before."""
-    n = F.row_number().over(_ORDERED)
-    w = _ORDERED.rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*ENTITY).orderBy("aggregate_version", "time_ns", "id")
+    n = F.row_number().over(ordered)
+    w = ordered.rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("_n", n).withColumn("time_ns", F.max(F.col("time_ns") - F.col("_n")).over(w) + F.col("_n")).drop("_n")
 
 

@@ -1,0 +1,165 @@
+import glob
+import os
+import random
+import uuid
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from eventloom.functions.query import Bounds, EventQuery, Ref, cursor_text, merge, parse_cursor
+from eventloom.functions.scalar import new_uuid7, uuid5
+from eventloom.operators import entities, permissions, processes
+from eventloom.plans import queries as plans
+from eventloom.sources import log
+from eventloom.streaming.projections import Job, Progress, Projection, continuously, triggered
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows_of(spark, *rows):
+    """(id, name, time_ns, aggregate_name, aggregate_id, version)"""
+    df = log.events_from(spark, [(i, n, t, None, a, k, v, None) for i, n, t, a, k, v in rows])
+    return df.withColumn("ts", F.timestamp_micros(F.floor(F.col("time_ns") / 1000)).cast("timestamp_ntz"))
+
+
+def ids(df):
+    return [r.id for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        c.sql(f"create view {os.path.basename(p)[:-8]} as from '{p}'")
+    return c
+
+
+@pytest.mark.parametrize("name", list(plans.QUERIES))
+def test_query_matches_sql(spark, duck, name):
+    got, want = plans.QUERIES[name](spark, SF).toPandas(), duck.sql(plans.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    text = lambda df: sorted(map(str, df[columns].itertuples(index=False, name=None)))
+    assert text(got) == text(want)
+
+
+def test_version_bounds(spark):
+    df = rows_of(spark, *[(str(v), "foo", v, "a", "x", v) for v in (2, 4, 8, 16, 32)])
+    assert sorted(ids(EventQuery(version=Bounds(mins=(5,), maxs=(16,))).apply(df))) == ["16", "8"]
+    assert Bounds(mins=(9, 5)).includes(5) and not Bounds(exact=(1,), maxs=(5,)).includes(2, 7)
+
+
+def test_refs_and_merge(spark):
+    df = rows_of(spark, *[(f"{n}{k}", "e", 1, n, k, 1) for n in ("foo", "bar", "baz") for k in ("1", "2")])
+    assert sorted(ids(EventQuery(refs=(Ref("foo", "1"), Ref("bar", "1"))).apply(df))) == ["bar1", "foo1"]
+    assert sorted(ids(EventQuery(refs=(Ref("foo", "1"), Ref("baz"))).apply(df))) == ["baz1", "baz2", "foo1"]
+    q = merge(EventQuery(names=("a",)).since(5), EventQuery(names=("b",)).since(3))
+    assert q.names == ("a", "b") and q.time.mins == (3,)
+    with pytest.raises(ValueError):
+        Ref.parse("foo")
+    assert parse_cursor(cursor_text(7, "x")) == (7, "x")
+
+
+def test_nulls_count_as_zero(spark):
+    df = rows_of(spark, ("a", "e", 1, None, None, None), ("b", "e", 1, "n", "x", 6))
+    assert ids(EventQuery(version=Bounds(maxs=(5,))).apply(df)) == ["a"]
+
+
+def test_sort_is_total(spark):
+    df = rows_of(spark, ("b", "e", 1, "n", "x", 1), ("a", "e", 1, "n", "x", 2), ("c", "e", 0, "n", "x", 3))
+    assert ids(EventQuery(sort=(("time", True),)).apply(df)) == ["c", "a", "b"]
+
+
+def test_append_is_all_or_nothing(spark, tmp_path):
+    store = log.EventLog(spark, str(tmp_path / "log"))
+    store.insert(rows_of(spark, ("1", "e", 1, "n", "x", 1)))
+    for bad in (("1", "e", 2, "n", "x", 2), ("2", "e", 2, "n", "x", 1)):
+        with pytest.raises(log.Conflict):
+            store.insert(rows_of(spark, ("9", "e", 3, "n", "y", 1), bad))
+    with pytest.raises(log.Conflict):
+        store.insert(rows_of(spark, ("5", "e", 1, "n", "z", 2), ("6", "e", 1, "n", "z", 2)))
+    store.insert(rows_of(spark, ("7", "e", 1, "n", "z", 0), ("8", "e", 1, "n", "z", 0)))  # version 0 is exempt
+    assert sorted(ids(store.read())) == ["1", "7", "8"]
+    store.delete_entity("n", "x")
+    store.delete(rows_of(spark, ("nothing", "e", 1, None, None, None)))
+    assert sorted(ids(store.read())) == ["7", "8"]
+    assert store.find("7").name == "e"
+    with pytest.raises(log.NotFound):
+        store.find("1")
+    assert log.schema_problems(store.read()) == []
+    assert log.schema_problems(spark.range(1))[0] == "id is bigint, not string"
+
+
+def test_consistency_and_soft_delete(spark):
+    df = rows_of(spark, ("1", "e", 1, "n", "gap", 1), ("2", "e", 2, "n", "gap", 5), ("3", "e", 5, "n", "t", 1), ("4", "e", 5, "n", "t", 2), ("5", "e", 1, "n", "v", 0), ("6", "deleted", 3, "n", "gap", 6))
+    found = {r.aggregate_id: (r.kind, r["index"]) for r in entities.violations(df).collect()}
+    assert found == {"t": ("time", 1), "v": ("version", 0)}
+    assert {r.aggregate_id for r in entities.violations(df, ignore_time=True).collect()} == {"v"}
+    assert {r.aggregate_id for r in entities.live(df).collect()} == {"t", "v"}
+    back = df.unionByName(rows_of(spark, ("7", "restored", 4, "n", "gap", 7)))
+    assert "gap" in {r.aggregate_id for r in entities.live(back).collect()}
+
+
+def test_clamped_counts(spark):
+    rng = random.Random(1)
+    rows, want = [], {}
+    for s in range(50):
+        n = 0
+        for p in range(rng.randint(1, 20)):
+            x = rng.choice((1, -1))
+            n = max(0, n + x)
+            rows.append((str(s), "doc", "1", "read", x, p))
+        want[str(s)] = n
+    df = spark.createDataFrame(rows, "subject string, ref_name string, ref_id string, action string, delta int, position int")
+    assert {r.subject: r.n for r in permissions.counted(df).collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_wildcards(spark):
+    grants = spark.createDataFrame([("a", "*", "", "read", 1), ("b", "doc", "", "*", 1), ("c", "doc", "1", "read", 1), ("d", "*", "1", "*", 1)], "subject string, ref_name string, ref_id string, action string, n long")
+    probes = spark.createDataFrame([(s, "doc", i, x) for s in "abcd" for i in ("1", "2") for x in ("read", "write")], "subject string, ref_name string, ref_id string, action string")
+    got = {(r.subject, r.ref_id, r.action) for r in permissions.allowed(probes, grants).collect()}
+    assert got == {("a", "1", "read"), ("a", "2", "read"), *(("b", i, x) for i in "12" for x in ("read", "write")), ("c", "1", "read"), ("d", "1", "read"), ("d", "1", "write")}
+
+
+def test_uuids(spark):
+    space = uuid.uuid4()
+    texts = ["", "a", "ü", "key:7"] + [str(i) for i in range(50)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", uuid5(space, F.col("t")).alias("u")).collect()
+    assert all(r.u == str(uuid.uuid5(space, r.t)) for r in got)
+    assert uuid.UUID(new_uuid7()).version == 7
+
+
+def test_projection_applies_each_event_once(spark, tmp_path):
+    store = log.EventLog(spark, str(tmp_path / "log"))
+    seen: list[str] = []
+    p = Projection(lambda rows, reset: (seen.clear() if reset else None, seen.extend(ids(rows)))[0])
+    store.insert(rows_of(spark, ("a", "e", 5, "n", "x", 1), ("b", "e", 5, "n", "y", 1)))
+    continuously(store.stream(), p, str(tmp_path / "cp")).awaitTermination()
+    store.insert(rows_of(spark, ("c", "e", 5, "n", "z", 1)))
+    continuously(store.stream(), p, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == ["a", "b", "c"] and p.progress == Progress(5, ("a", "b", "c"))
+    assert triggered(store.read(), p) == 0
+    assert triggered(store.read(), p, reset=True) == 3 and sorted(seen) == ["a", "b", "c"]
+    assert Job(store.read(), Progress()).named("e").count() == 3
+
+
+def test_saga_compensates_in_reverse():
+    ran: list[str] = []
+
+    def fail():
+        raise RuntimeError("no")
+
+    s = processes.Saga({"a": lambda: ran.append("a"), "b": lambda: ran.append("b"), "c": fail, "ua": lambda: ran.append("ua"), "ub": lambda: ran.append("ub")}, {"a": "ua", "b": "ub"}, ("a", "b", "c"))
+    report = s.run()
+    assert ran == ["a", "b", "ub", "ua"] and [r["status"] for r in report] == ["succeeded", "succeeded", "failed", "succeeded", "succeeded"]
+
+
+def test_codec_keeps_bad_rows(spark):
+    codec = log.Codec()
+    codec.register("e", "A int")
+    df = rows_of(spark, ("1", "e", 1, None, None, None), ("2", "e", 1, None, None, None)).withColumn("data", F.when(F.col("id") == "1", '{"A": 3}').otherwise("{oops"))
+    got = {r.id: (r.payload.A, r.decode_error) for r in codec.decode(df, "e").collect()}
+    assert got == {"1": (3, None), "2": (None, "{oops")}
+    with pytest.raises(KeyError):
+        codec.decode(df, "other")
