@@ -24,6 +24,8 @@ class Bits:
 class FMIndex:
     """Index of ``text`` (integers from 0, dense) for patterns of exactly ``depth`` symbols (at most 64).
 
+    The text must end with 0, which separates streams and is part of no pattern.
+
     Suffixes are sorted by their first 64 symbols, which is enough for patterns of up to 64. Besides the wavelet
     matrix of the Burrows-Wheeler transform it keeps, per row, the bounds of the rows that share depth - 1
     symbols: dropping a pattern's last symbol is then one lookup, as matching statistics need.

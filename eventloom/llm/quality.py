@@ -110,13 +110,13 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = 3000, mos
     return model
 
 
-def score(documents: DataFrame, model: CompressionModel, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id) plus score, over whole texts; null and empty texts get the score of no evidence.
+def score(documents: DataFrame, model: CompressionModel, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns (default doc_id) plus the score as ``name``, over whole texts; null and empty texts get the score of no evidence.
 
     The model (two dictionaries of bounded size) goes out with the task closure.
     """
     keep = keep or ["doc_id"]
-    fields = [f for f in documents.schema.fields if f.name in keep]
+    fields = [f for f in documents.schema.fields if f.name in keep and f.name != name]
     names = [f.name for f in fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `_score` double"
     import pyarrow as pa
@@ -127,7 +127,7 @@ def score(documents: DataFrame, model: CompressionModel, keep: list[str] | None
             x = np.array([size(t) for t in batch.column("_text").to_pylist()], dtype=float)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(model.probability(x))], names=[*names, "_score"])
 
-    return documents.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema).withColumnRenamed("_score", "score")
+    return documents.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema).withColumnRenamed("_score", name)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -137,4 +137,4 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, model: CompressionModel, least: float = 0.5) -> DataFrame:
     """The rows of ``documents`` whose score reaches ``least``, with all their columns."""
-    return score(documents, model, documents.columns).where(F.col("score") >= least).select(*documents.columns)
+    return score(documents, model, documents.columns, "_quality_score").where(F.col("_quality_score") >= least).select(*documents.columns)
