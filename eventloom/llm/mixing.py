@@ -7,9 +7,10 @@ all documents with their posteriors, match target totals.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import math
+import zlib
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +20,17 @@ from .shared import SPACE, table
 #: Domains told apart by the labelled table, with the label condition that marks each.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "true"}
 
+#: Maps over which the classifier's words are dealt.
+SHEETS = 64
+
 
 @dataclass
 class Mixture:
-    """Posterior model: log priors, and per domain the words that speak for or against it with their log likelihood ratios."""
+    """Posterior model: log priors, and for each telling word its log likelihood ratio in every domain."""
 
     domains: list[str]
     prior: list[float]
-    weights: list[dict[str, float]] = field(default_factory=list)
+    ratios: dict[str, list[float]] = field(default_factory=dict)
 
 
 def words(text: Column) -> Column:
@@ -36,11 +40,12 @@ def words(text: Column) -> Column:
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, rows: int = 20_000, vocabulary: int = 400) -> Mixture:
     """Naive Bayes over the presence of words, from at most ``rows`` labelled rows chosen by a hash of the id.
 
-    A domain's evidence is the ``vocabulary`` words whose number of documents in it lies furthest (in standard
-    deviations, five at least, and by a factor of e at least) from what its share of all documents makes likely.
+    A word is telling where the number of its documents in a domain lies over five standard deviations, and by a
+    factor over e, from what the domain's share of all documents makes likely; each domain names the ``vocabulary``
+    furthest ones, and every domain judges the words that any of them names.
 
     An id with several labels counts with the first domain that any of them meets; rows with null labels and
-    ids are passed over. The driver receives (domains x vocabulary) words. Without labels the posterior is even.
+    ids are passed over. The driver receives at most (domains x vocabulary) words. Without labels the posterior is even.
     """
     domains = domains or DOMAINS
     names = list(domains)
@@ -57,32 +62,35 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | No
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     seen = sample.select("domain", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     n = [F.sum(F.when(F.col("domain") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(names))]
-    counts = table(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *n).where("n >= 20"), "word-counts")
+    counts = table(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *n).where("n > 5"), "word-counts")
     in_sample = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = max(1, sum(in_sample.values()))
-    weights = []
+    ratios, best = [], []
     for i in range(len(names)):
         expected = F.col("n") * in_sample.get(i, 0) / size
-        ratio = F.ln((F.col(f"n{i}") + 1) / (expected + 1))
+        ratios.append(F.ln((F.col(f"n{i}") + 1) / (expected + 1)).alias(f"w{i}"))
         far = F.abs(F.col(f"n{i}") - expected) / F.sqrt(expected + 1)
-        best = counts.select("word", ratio.alias("w"), far.alias("z")).where("z > 5 and abs(w) > 1").orderBy(F.desc("z"), "word").limit(vocabulary).collect()
-        weights.append({r["word"]: r["w"] for r in best})
-    return Mixture(names, prior, weights)
+        best.append(counts.select("word", ratios[i], far.alias("z")).where(f"z > 5 and abs(w{i}) > 1").orderBy(F.desc("z"), "word").limit(vocabulary).select("word"))
+    telling = reduce(DataFrame.union, best).distinct()
+    return Mixture(names, prior, {r["word"]: [r[f"w{i}"] for i in range(len(names))] for r in counts.select("word", *ratios).join(F.broadcast(telling), "word").collect()})
 
 
 def posteriors(docs: DataFrame, model: Mixture, scale: float = 1.0) -> DataFrame:
     """(doc_id, n_tokens, p): words of the whole text and the posterior over ``model.domains``."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-
-    def evidence(i: int) -> Column:
-        known = model.weights[i] if i < len(model.weights) else {}
-        if not known:
-            return F.lit(model.prior[i])
-        sheet = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-        hits = F.array_intersect(F.col("w"), F.array(*[F.lit(x) for x in sorted(known)]))
-        return F.aggregate(hits, F.lit(model.prior[i]), lambda acc, x: acc + F.element_at(sheet, x) * scale)
-
-    logs = rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array(*[evidence(i) for i in range(len(model.domains))]).alias("l"))
+    known = sorted(model.ratios.items())
+    # a map is searched from its start: the words are dealt to short maps by their crc32
+    sheets = []
+    for i in range(SHEETS if known else 0):
+        pairs = [F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in known if zlib.crc32(pair[0].encode()) % SHEETS == i for x in pair]
+        sheets.append(F.create_map(*pairs).cast("map<string,array<double>>"))
+    if known:
+        hits = F.array_intersect(F.col("w"), F.array(*[F.lit(w) for w, _ in known]))
+        found = F.transform(hits, lambda x: F.element_at(F.array(*sheets)[(F.crc32(x.cast("binary")) % SHEETS).cast("int")], x))
+    else:
+        found = F.array().cast("array<array<double>>")
+    evidence = [F.aggregate("h", F.lit(p), lambda acc, x, i=i: acc + x[i] * scale) for i, p in enumerate(model.prior)]
+    logs = rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), found.alias("h")).select("doc_id", "n_tokens", F.array(*evidence).alias("l"))
     top = logs.withColumn("m", F.array_max("l")).withColumn("l", F.transform("l", lambda x: F.exp(x - F.col("m"))))
     whole = F.aggregate("l", F.lit(0.0), lambda a, x: a + x)
     return top.withColumn("z", whole).select("doc_id", "n_tokens", F.transform("l", lambda x: x / F.col("z")).alias("p"))
