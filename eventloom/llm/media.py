@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_bytes
+from .shared import table, text_bytes
 
 BLOCK = 576
 
@@ -268,7 +268,7 @@ def as_media(docs: DataFrame) -> DataFrame:
 def media_features(docs: DataFrame) -> DataFrame:
     """Digests and features of every document's stored media, read back through the sniffer.
 
-    The stored form is taken for what its bytes are (the declared type is generic), its samples are read and
+    The media are written to a table in the shared folder and read from there. The stored form is taken for what its bytes are (the declared type is generic), its samples are read and
     described: type, number of samples, their mean and spread, and what media the samples themselves hold.
     Equal texts give equal values; null and empty texts give one block of 255s. A null doc_id stays null.
     """
@@ -290,4 +290,4 @@ def media_features(docs: DataFrame) -> DataFrame:
                 rows.append((None if pd.isna(doc_id) else int(doc_id), n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
 
-    return as_media(docs).mapInPandas(run, schema)
+    return table(as_media(docs), "media").mapInPandas(run, schema)

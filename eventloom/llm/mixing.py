@@ -26,10 +26,10 @@ SHEETS = 64
 
 @dataclass
 class Mixture:
-    """Posterior model: log priors, and for each telling word its log likelihood ratio in every domain."""
+    """Posterior model: log scores of a document without telling words, and what the presence of each such word adds."""
 
     domains: list[str]
-    prior: list[float]
+    base: list[float]
     ratios: dict[str, list[float]] = field(default_factory=dict)
 
 
@@ -42,7 +42,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | No
 
     A word is telling where the number of its documents in a domain lies over five standard deviations, and by a
     factor over e, from what the domain's share of all documents makes likely; each domain names the ``vocabulary``
-    furthest ones, and every domain judges the words that any of them names.
+    furthest ones, and every domain judges the words that any of them names, absent ones too: a document without
+    them is as unlikely for a domain as the domain's documents have them often.
 
     An id with several labels counts with the first domain that any of them meets; rows with null labels and
     ids are passed over. The driver receives at most (domains x vocabulary) words. Without labels the posterior is even.
@@ -65,17 +66,23 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | No
     counts = table(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *n).where("n > 5"), "word-counts")
     in_sample = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = max(1, sum(in_sample.values()))
-    ratios, best = [], []
+    ratios, absent, best = [], [], []
     for i in range(len(names)):
         expected = F.col("n") * in_sample.get(i, 0) / size
-        ratios.append(F.ln((F.col(f"n{i}") + 1) / (expected + 1)).alias(f"w{i}"))
+        # smoothed by one document at the word's rate in the whole sample
+        rate = F.least(F.greatest((F.col(f"n{i}") + F.col("n") / size) / (in_sample.get(i, 0) + 1), F.lit(1e-6)), F.lit(1 - 1e-6))
+        ratios.append(F.ln(rate / (1 - rate)).alias(f"w{i}"))
+        absent.append(F.ln(1 - rate).alias(f"a{i}"))
         far = F.abs(F.col(f"n{i}") - expected) / F.sqrt(expected + 1)
-        best.append(counts.select("word", ratios[i], far.alias("z")).where(f"z > 5 and abs(w{i}) > 1").orderBy(F.desc("z"), "word").limit(vocabulary).select("word"))
+        factor = F.abs(F.ln((F.col(f"n{i}") + 1) / (expected + 1)))
+        best.append(counts.select("word", far.alias("z"), factor.alias("f")).where("z > 5 and f > 1").orderBy(F.desc("z"), "word").limit(vocabulary).select("word"))
     telling = reduce(DataFrame.union, best).distinct()
-    return Mixture(names, prior, {r["word"]: [r[f"w{i}"] for i in range(len(names))] for r in counts.select("word", *ratios).join(F.broadcast(telling), "word").collect()})
+    chosen = counts.select("word", *ratios, *absent).join(F.broadcast(telling), "word").collect()
+    base = [math.fsum([prior[i], *(r[f"a{i}"] for r in chosen)]) for i in range(len(names))]
+    return Mixture(names, base, {r["word"]: [r[f"w{i}"] for i in range(len(names))] for r in chosen})
 
 
-def posteriors(docs: DataFrame, model: Mixture, scale: float = 1.0) -> DataFrame:
+def posteriors(docs: DataFrame, model: Mixture) -> DataFrame:
     """(doc_id, n_tokens, p): words of the whole text and the posterior over ``model.domains``."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     known = sorted(model.ratios.items())
@@ -89,8 +96,11 @@ def posteriors(docs: DataFrame, model: Mixture, scale: float = 1.0) -> DataFrame
         found = F.transform(hits, lambda x: F.element_at(F.array(*sheets)[(F.crc32(x.cast("binary")) % SHEETS).cast("int")], x))
     else:
         found = F.array().cast("array<array<double>>")
-    evidence = [F.aggregate("h", F.lit(p), lambda acc, x, i=i: acc + x[i] * scale) for i, p in enumerate(model.prior)]
-    logs = rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), found.alias("h")).select("doc_id", "n_tokens", F.array(*evidence).alias("l"))
+
+    def evidence(i: int) -> Column:
+        return F.aggregate("h", F.lit(model.base[i]), lambda acc, x: acc + x[i])
+
+    logs = rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), found.alias("h")).select("doc_id", "n_tokens", F.array(*map(evidence, range(len(model.domains)))).alias("l"))
     top = logs.withColumn("m", F.array_max("l")).withColumn("l", F.transform("l", lambda x: F.exp(x - F.col("m"))))
     whole = F.aggregate("l", F.lit(0.0), lambda a, x: a + x)
     return top.withColumn("z", whole).select("doc_id", "n_tokens", F.transform("l", lambda x: x / F.col("z")).alias("p"))
