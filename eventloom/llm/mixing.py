@@ -40,8 +40,8 @@ def words(text: Column) -> Column:
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, rows: int = 20_000, vocabulary: int = 400) -> Mixture:
     """Naive Bayes over the presence of words, from at most ``rows`` labelled rows chosen by a hash of the id.
 
-    A word is telling where the number of its documents in a domain lies over five standard deviations, and by a
-    factor over e, from what the domain's share of all documents makes likely; each domain names the ``vocabulary``
+    A word is telling where the number of its documents in a domain lies over five standard deviations above, and by a
+    factor over e above, what the domain's share of all documents makes likely; each domain names the ``vocabulary``
     furthest ones, and every domain judges the words that any of them names, absent ones too: a document without
     them is as unlikely for a domain as the domain's documents have them often.
 
@@ -73,8 +73,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | No
         rate = F.least(F.greatest((F.col(f"n{i}") + F.col("n") / size) / (in_sample.get(i, 0) + 1), F.lit(1e-6)), F.lit(1 - 1e-6))
         ratios.append(F.ln(rate / (1 - rate)).alias(f"w{i}"))
         absent.append(F.ln(1 - rate).alias(f"a{i}"))
-        far = F.abs(F.col(f"n{i}") - expected) / F.sqrt(expected + 1)
-        factor = F.abs(F.ln((F.col(f"n{i}") + 1) / (expected + 1)))
+        far = (F.col(f"n{i}") - expected) / F.sqrt(expected + 1)
+        factor = F.ln((F.col(f"n{i}") + 1) / (expected + 1))
         best.append(counts.select("word", far.alias("z"), factor.alias("f")).where("z > 5 and f > 1").orderBy(F.desc("z"), "word").limit(vocabulary).select("word"))
     telling = reduce(DataFrame.union, best).distinct()
     chosen = counts.select("word", *ratios, *absent).join(F.broadcast(telling), "word").collect()
