@@ -18,34 +18,37 @@ LANES = 4096  # blocks that are coded side by side at most, which bounds memory
 _COARSE, _FINE = 16, BLOCK // 16
 _PAIRS = 1024  # slots for pairs of ids
 _ONE = 4096  # unit of the mixture's weights
+_MOST = _ONE - 64  # what orders 2 and 1 may weigh together
 _TOP = np.uint64(1 << 31)
 _32 = np.uint64(32)
+_SHIFT = np.uint64(12)
 
 
 class _Model:
-    """Predictions of many blocks. Ids stand as slots: their order of first appearance in the block."""
+    """Predictions of many blocks. Ids stand as slots: their order of first appearance in the block.
+
+    What followed a context is held as 8 x slot + confidence, or -1 where nothing did. Confidence 7, which -1 ends in,
+    has no trust, so that such a context has no weight. All tables are flat: a block's part starts at its multiple.
+    """
 
     def __init__(self, lanes: int):
-        self.at = np.arange(lanes)
-        self.next1, self.sure1 = np.full((lanes, BLOCK), -1, np.int16), np.zeros((lanes, BLOCK), np.int8)
-        self.next2, self.sure2 = np.full((lanes, _PAIRS), -1, np.int16), np.zeros((lanes, _PAIRS), np.int8)
-        # successes and trials of each order at each confidence
-        self.right = np.tile(np.array([1, 2, 4, 6], np.int32), (2, lanes, 1))
-        self.tried = np.full((2, lanes, 4), 8, np.int32)
+        self.lane = np.arange(lanes)
+        self.next1, self.next2 = np.full(lanes * BLOCK, -1, np.int16), np.full(lanes * _PAIRS, -1, np.int16)
+        first = np.array([1, 2, 4, 6, 0, 0, 0, 0], np.int32) * (_MOST // 8)
+        self.trust1, self.trust2 = np.tile(first, lanes), np.tile(first, lanes)
         self.fine, self.coarse = np.zeros((lanes, _COARSE, _FINE), np.int16), np.zeros((lanes, _COARSE), np.int32)
-        self.distinct = np.zeros(lanes, np.int64)
-        self.last, self.pair = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen = 0
-
-    def mixture(self, n: int):
-        """Candidates of orders 2 and 1 for the first n blocks, with their weights out of _ONE (0: no candidate)."""
-        at = self.at[:n]
-        self.c2, self.c1 = self.next2[at, self.pair[:n]], self.next1[at, self.last[:n]]
-        self.k2, self.k1 = self.sure2[at, self.pair[:n]], self.sure1[at, self.last[:n]]
-        w2 = np.where(self.c2 >= 0, self.right[0][at, self.k2] * (_ONE - 64) // self.tried[0][at, self.k2], 0)
-        use1 = (self.c1 >= 0) & (self.c1 != self.c2)
-        w1 = np.where(use1, self.right[1][at, self.k1] * (_ONE - 64 - w2) // self.tried[1][at, self.k1], 0)
-        return w2.astype(np.int64), w1.astype(np.int64)
+        self.distinct, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.at1, self.at2 = self.lane * BLOCK, self.lane * _PAIRS
+
+    def mixture(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights out of _ONE of the candidates of orders 2 and 1 for the first n blocks (0: no candidate)."""
+        s2, s1 = self.next2.take(self.at2[:n]), self.next1.take(self.at1[:n])
+        self.c2, self.c1, self.k2, self.k1 = s2 >> 3, s1 >> 3, s2 & 7, s1 & 7
+        row = self.lane[:n] << 3
+        self.t2, self.t1 = row + self.k2, row + self.k1
+        w2 = self.trust2.take(self.t2)
+        w1 = (self.trust1.take(self.t1) * (_MOST - w2) >> 12) * (self.c1 != self.c2)
+        return w2, w1
 
     def below(self, lanes: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order-0 count before and of each slot."""
@@ -61,29 +64,27 @@ class _Model:
         big = (sums <= value[:, None]).sum(1)
         i = np.arange(len(lanes))
         before = sums[i, big] - self.coarse[lanes, big]
-        row = self.fine[lanes, big].astype(np.int64)
+        row = self.fine[lanes, big]
         sums = np.cumsum(row, axis=1)
         small = (sums <= (value - before)[:, None]).sum(1)
-        count = row[i, small]
+        count = row[i, small].astype(np.int64)
         return big * 32 + small, before + sums[i, small] - count, count
 
     def update(self, n: int, slot: np.ndarray) -> None:
-        at, last, pair = self.at[:n], self.last[:n], self.pair[:n]
-        for order, cand, sure in ((0, self.c2, self.k2), (1, self.c1, self.k1)):
-            has = np.flatnonzero(cand >= 0)
-            hit = (cand[has] == slot[has]).astype(np.int32)
-            self.right[order][has, sure[has]] += hit
-            self.tried[order][has, sure[has]] += 1
-        for cand, sure, nexts, sures, key in ((self.c2, self.k2, self.next2, self.sure2, pair), (self.c1, self.k1, self.next1, self.sure1, last)):
-            same = cand == slot
-            sures[at, key] = np.where(same, np.minimum(sure + 1, 3), 0)
-            nexts[at, key] = slot
-        self.fine[at, slot >> 5, slot & 31] += 1
-        self.coarse[at, slot >> 5] += 1
-        self.distinct[:n] = np.maximum(self.distinct[:n], slot + 1)
-        self.pair[:n] = (last * 37 + slot * 101 + 1) & (_PAIRS - 1)
+        lane = self.lane[:n]
+        told = (slot << 3).astype(np.int16)
+        for c, k, t, trust, nexts, at in ((self.c2, self.k2, self.t2, self.trust2, self.next2, self.at2[:n]), (self.c1, self.k1, self.t1, self.trust1, self.next1, self.at1[:n])):
+            hit = c == slot
+            old = trust.take(t)
+            trust[t] = old + ((hit * np.int32(_MOST) - old) >> 4)
+            nexts[at] = told + np.minimum(k + 1, 3) * hit
+        at = lane * BLOCK + slot
+        self.fine.reshape(-1)[at] += 1
+        self.coarse.reshape(-1)[at >> 5] += 1
+        np.maximum(self.distinct[:n], slot + 1, out=self.distinct[:n])
+        self.at2[:n] = lane * _PAIRS + ((self.last[:n] * 37 + slot * 101 + 1) & (_PAIRS - 1))
+        self.at1[:n] = at
         self.last[:n] = slot
-        self.seen += 1
 
 
 class _Coder:
@@ -94,8 +95,18 @@ class _Coder:
 
     def narrow(self, at: np.ndarray, unit: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
         self.low[at] += unit * cum.astype(np.uint64)
-        self.range[at] = unit * freq.astype(np.uint64)
-        at = at[self.range[at] < _TOP]
+        size = self.range[at] = unit * freq.astype(np.uint64)
+        self.settle(at[size < _TOP])
+
+    def narrow_first(self, n: int, cum: np.ndarray, freq: np.ndarray) -> None:
+        """Narrow the first n blocks by parts of _ONE."""
+        unit, size = self.range[:n] >> _SHIFT, self.range[:n]
+        self.low[:n] += unit * cum.astype(np.uint64)
+        np.multiply(unit, freq.astype(np.uint64), out=size)
+        self.settle(np.flatnonzero(size < _TOP))
+
+    def settle(self, at: np.ndarray) -> None:
+        """Move 32 bits where the range has become short."""
         if not len(at):
             return
         low, size = self.low[at], self.range[at]
@@ -156,37 +167,44 @@ class _Reader(_Coder):
         return unit, np.minimum((self.code[at] - self.low[at]) // unit, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
 
 
-def _slots(ids: np.ndarray, lanes: int) -> np.ndarray:
-    """Order of first appearance of each id in its block; ids is (lanes x BLOCK), padded with -1."""
-    key = (np.repeat(np.arange(lanes), BLOCK) << 33) + (ids.ravel().astype(np.int64) + 1)
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    is_first = np.zeros(key.shape, bool)
-    is_first[first] = True
+def _slots(ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Order of first appearance of each id in its block; ids is (lanes x BLOCK), padded at the end of blocks."""
+    lanes = len(ids)
+    narrow = ids.astype(np.uint16 if vocabulary <= 1 << 16 else np.uint32)  # short integers sort by radix
+    order = np.argsort(narrow, axis=1, kind="stable")
+    ranked = np.take_along_axis(narrow, order, 1)
+    starts = np.ones(ids.shape, bool)
+    starts[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    place = (order + (np.arange(lanes) * BLOCK)[:, None]).ravel()
+    first = place[starts.ravel()]
+    is_first = np.zeros(ids.size, np.int64)
+    is_first[first] = 1
     nth = np.cumsum(is_first.reshape(lanes, BLOCK), axis=1).ravel() - 1
-    return nth[first][inverse].reshape(lanes, BLOCK)
+    out = np.empty(ids.size, np.int64)
+    out[place] = nth[first][np.cumsum(starts.ravel()) - 1]
+    return out.reshape(lanes, BLOCK)
 
 
 def _encode(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> list[bytes]:
     """``sizes`` must descend."""
     lanes = len(sizes)
-    model, coder, slots = _Model(lanes), _Writer(lanes), _slots(ids, lanes)
+    model, coder = _Model(lanes), _Writer(lanes)
+    slots, ids = np.ascontiguousarray(_slots(ids, vocabulary).T), np.ascontiguousarray(ids.T)
     for t in range(int(sizes[0])):
         n = int(np.searchsorted(-sizes, -t, side="left"))
-        slot = slots[:n, t]
+        slot = slots[t, :n]
         w2, w1 = model.mixture(n)
         is2, is1 = (w2 > 0) & (model.c2 == slot), (w1 > 0) & (model.c1 == slot)
-        mixed = np.flatnonzero(w2 + w1 > 0)
-        two, one = w2[mixed], w1[mixed]
-        cum = np.where(is2[mixed], 0, np.where(is1[mixed], two, two + one))
-        freq = np.where(is2[mixed], two, np.where(is1[mixed], one, _ONE - two - one))
-        coder.put(mixed, np.full(len(mixed), _ONE), cum, freq)
+        both = w2 + w1
+        coder.narrow_first(n, np.where(is2, 0, np.where(is1, w2, both)), np.where(is2, w2, np.where(is1, w1, _ONE - both)))
         rest = np.flatnonzero(~(is2 | is1))
-        new = slot[rest] == model.distinct[rest]
         escape = np.maximum(model.distinct[rest], 1)
-        cum, freq = model.below(rest, slot[rest])
-        coder.put(rest, t + escape, np.where(new, t, cum), np.where(new, escape, freq))
+        cum, freq, new = np.full(len(rest), t), escape.copy(), slot[rest] == model.distinct[rest]
+        old = np.flatnonzero(~new)
+        cum[old], freq[old] = model.below(rest[old], slot[rest[old]])
+        coder.put(rest, t + escape, cum, freq)
         fresh = rest[new]
-        coder.put(fresh, np.full(len(fresh), vocabulary), ids[fresh, t], np.ones(len(fresh), np.int64))
+        coder.put(fresh, np.full(len(fresh), vocabulary), ids[t, fresh], np.ones(len(fresh), np.int64))
         model.update(n, slot)
     return coder.finish()
 
@@ -194,17 +212,15 @@ def _encode(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> list[bytes]:
 def _decode(parts: list[bytes], sizes: np.ndarray, vocabulary: int) -> np.ndarray:
     lanes = len(sizes)
     model, coder = _Model(lanes), _Reader(parts)
-    ids, known = np.zeros((lanes, BLOCK), np.int64), np.zeros((lanes, BLOCK), np.int64)
+    ids, known = np.zeros((BLOCK, lanes), np.int64), np.zeros((lanes, BLOCK), np.int64)
     for t in range(int(sizes[0])):
         n = int(np.searchsorted(-sizes, -t, side="left"))
-        slot = np.full(n, -1, np.int64)
         w2, w1 = model.mixture(n)
-        mixed = np.flatnonzero(w2 + w1 > 0)
-        two, one = w2[mixed], w1[mixed]
-        unit, v = coder.value(mixed, np.full(len(mixed), _ONE))
-        is2, is1 = v < two, (v >= two) & (v < two + one)
-        coder.narrow(mixed, unit, np.where(is2, 0, np.where(is1, two, two + one)), np.where(is2, two, np.where(is1, one, _ONE - two - one)))
-        slot[mixed] = np.where(is2, model.c2[mixed], np.where(is1, model.c1[mixed], -1))
+        unit, into, both = coder.range[:n] >> _SHIFT, coder.code[:n] - coder.low[:n], w2 + w1
+        is2 = into < unit * w2.astype(np.uint64)
+        is1 = ~is2 & (into < unit * both.astype(np.uint64))
+        coder.narrow_first(n, np.where(is2, 0, np.where(is1, w2, both)), np.where(is2, w2, np.where(is1, w1, _ONE - both)))
+        slot = np.where(is2, model.c2, np.where(is1, model.c1, -1)).astype(np.int64)
         rest = np.flatnonzero(slot < 0)
         escape = np.maximum(model.distinct[rest], 1)
         unit, v = coder.value(rest, t + escape)
@@ -219,9 +235,9 @@ def _decode(parts: list[bytes], sizes: np.ndarray, vocabulary: int) -> np.ndarra
         unit, v = coder.value(fresh, np.full(len(fresh), vocabulary))
         coder.narrow(fresh, unit, v, np.ones(len(fresh), np.int64))
         known[fresh, slot[fresh]] = v
-        ids[:n, t] = known[np.arange(n), slot]
+        ids[t, :n] = known.reshape(-1).take(model.lane[:n] * BLOCK + slot)
         model.update(n, slot)
-    return ids
+    return ids.T
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[tuple[int, int, bytes]]:
@@ -233,7 +249,7 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[tuple[int, int, byte
         lanes = -(-len(part) // BLOCK)
         sizes = np.full(lanes, BLOCK, np.int64)
         sizes[-1] = len(part) - BLOCK * (lanes - 1)
-        wide = np.full(lanes * BLOCK, -1, np.int64)
+        wide = np.zeros(lanes * BLOCK, np.int64)
         wide[: len(part)] = part
         coded = _encode(wide.reshape(lanes, BLOCK), sizes, vocabulary)
         out += [(int(n), zlib.crc32(part[i * BLOCK : i * BLOCK + int(n)]), c) for i, (n, c) in enumerate(zip(sizes, coded, strict=True))]

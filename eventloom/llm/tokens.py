@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
 
 from .shared import text_bytes
 
@@ -14,39 +13,38 @@ _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 class WordEncoder:
     """Encodes texts with a tokenizer whose pre-tokens never span white space, and remembers the ids of words.
 
-    Ids come from the tokenizers library alone. As it drops white space and never joins across it,
-    a text's ids are its words' ids one after another; a test compares both ways. Unknown words of a batch
-    are encoded together, with a control character between them whose single id marks where each ends.
+    Ids come from the tokenizers library alone. As it drops white space and never joins across it, a text's ids are
+    its words' ids one after another. Where it also ignores case and keeps letters and digits apart from signs, a word
+    is encoded in lower case as what stands before its last signs and those; words with ``<`` may hold an added token
+    and are left as they are. A test compares with whole texts.
     """
 
-    MARK = "\x01"
+    SIGNS = b".,!?;:%"
 
     def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        if len(mark) != 1:
-            raise ValueError("the tokenizer has no single id for the mark between words")
-        self.mark = mark[0]
+        self.tokenizer, self.keep, self.known, self.parts = Tokenizer.from_file(path), keep, {}, {}
+        whole, stem, signs = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("Word" + self.SIGNS.decode(), "word", self.SIGNS.decode()))
+        self.splits = whole == stem + signs
+
+    def split(self, word: bytes) -> tuple[bytes, bytes]:
+        if not self.splits or b"<" in word:
+            return word, b""
+        word = word.lower()
+        stem = word.rstrip(self.SIGNS)
+        return (stem, word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
 
     def learn(self, words: list[bytes]) -> None:
-        mark = self.MARK.encode()
-        plain = [w for w in words if mark not in w]
-        for w in set(words).difference(plain):
-            self.known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        step, between = 256, f" {self.MARK} "
-        for a in range(0, len(plain), step * 32):
-            groups = [plain[i : i + step] for i in range(a, min(a + step * 32, len(plain)), step)]
-            coded = self.tokenizer.encode_batch_fast([between.join(w.decode("utf-8", "replace") for w in g) for g in groups], add_special_tokens=False)
-            for group, one in zip(groups, coded, strict=True):
-                ids = np.array(one.ids, "<u4")
-                cuts = np.flatnonzero(ids == self.mark)
-                raw, at = ids.tobytes(), 0
-                for w, cut in zip(group, [*cuts.tolist(), len(ids)], strict=True):
-                    self.known[w] = raw[4 * at : 4 * cut]
-                    at = cut + 1
+        pairs = [self.split(w) for w in words]
+        new = sorted({part for pair in pairs for part in pair}.difference(self.parts))
+        for a in range(0, len(new), 8192):
+            some = new[a : a + 8192]
+            coded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+            self.parts.update((p, array("I", one.ids).tobytes()) for p, one in zip(some, coded, strict=True))
+        get = self.parts.__getitem__
+        self.known.update((w, get(stem) + get(signs)) for w, (stem, signs) in zip(words, pairs, strict=True))
 
     def __call__(self, texts) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; None counts as empty."""
@@ -54,9 +52,10 @@ class WordEncoder:
         new = set().union(*words).difference(self.known) if words else set()
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
+            self.parts.clear()
             new = set().union(*words)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 

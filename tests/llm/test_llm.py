@@ -190,7 +190,8 @@ def test_token_ids_equal_the_library(real):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    texts = [x for _, x in EDGES] + ["a<|startoftext|>b", "é ́x", "'s's don't x\x1cy", "İ Σ"] + [r.text for r in real.limit(50).collect()]
+    texts = [x for _, x in EDGES] + ["a<|startoftext|>b", "é ́x", "'s's don't x\x1cy", "İ Σ"]
+    texts += ["A.B. c'S. don't! é. é! ñ% 1.5%. ... a̸. ẞ. 'ſ! ². ab². 5́. ḰK!", "<|endoftext|>. <|ENDOFTEXT|>! a<|startoftext|>: WORD?!% ?A"] + [r.text for r in real.limit(50).collect()]
     got = tokens.encoder(tokens.tokenizer_path())(texts)
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
