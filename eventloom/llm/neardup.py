@@ -17,6 +17,8 @@ WIDTH = 5  # words a shingle
 ROWS, BANDS = 4, 16  # a pair at similarity 0.85 shares no band with probability 8e-6, one at 0.8 with 2e-4
 #: Documents, and shingles, that one task verifies against each other at once.
 GROUP_DOCS, GROUP_SHINGLES = 2000, 3_000_000
+#: Documents that a hub does not reach and that meet a part of their family at once.
+BLOCK_DOCS = 500
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 
@@ -231,16 +233,17 @@ def _beyond_hubs(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     state = large.select("id", "family", "parts", "hub").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     main = state.where("id = hub").select("family", F.col("component").alias("main"))
     rest = table(state.join(main, "family").where("component <> main").select("id"), "unreached")
-    block = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("n") / 500)).cast("int"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_DOCS)).cast("int")
+    block = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), blocks).cast("int")
     asked = large.join(rest, "id", "left_semi")
     number = asked.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    asked = asked.join(number, "family").select("family", "parts", "id", "shingles", block.cast("int").alias("block"), F.greatest(F.lit(1), F.ceil(F.col("n") / 500)).cast("int").alias("blocks"))
+    asked = asked.join(number, "family").select("family", "parts", "id", "shingles", block.alias("block"), blocks.alias("blocks"))
     blocks = asked.select("family", "blocks").distinct()
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")
     sought = asked.select("family", every, "block", F.lit(True).alias("asked"), "id", "shingles")
     held = large.join(blocks, "family").select("family", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asked"), "id", "shingles")
-    # one row an id in a group: an asked one stands for itself
-    both = sought.unionByName(held.join(rest, "id", "left_anti"))
+    # one row an id in a group: an asked one stands for itself in its own block, and is held for the other blocks
+    both = sought.unionByName(held.join(asked.select("id", "block"), ["id", "block"], "left_anti"))
     return _verified(both.select("family", (F.col("p").cast("long") * (1 << 20) + F.col("block")).alias("part"), "asked", "id", "shingles"), percent)
 
 

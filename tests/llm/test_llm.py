@@ -124,6 +124,21 @@ def test_hub_and_spokes(spark, monkeypatch):
         assert sorted(map(tuple, neardup.near_groups(df).collect())) == near(rows, 85)
 
 
+def test_pairs_beyond_the_hub(spark, monkeypatch):
+    """Pairs linked to nothing else in one family are found, whatever parts and blocks their two ends are dealt into."""
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(24):
+        w = list(base)
+        for at in random.Random(i).sample(range(5, 115, 10), 3):
+            w[at] = f"z{i}-{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, "end"]))]
+    want = near(rows, 85)
+    assert sum(i != k for i, _, k, _ in want) == 24
+    monkeypatch.setattr(neardup, "GROUP_DOCS", 3)
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 3)
+    assert sorted(map(tuple, neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
 def copies(rows):
     key = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     out = []
