@@ -336,6 +336,23 @@ def test_mixing(spark, docs, empty):
     assert mixing.resample(docs, labels.limit(0)).columns == docs.columns
 
 
+def told_apart(spark, marked, n, size, label):
+    """``n`` documents of 40 words, of which ``marked`` have ``size`` words of their own and the label (quality, toxic)."""
+    own, common = " ".join(f"own{j % 5}" for j in range(size)), " ".join(f"word{j}" for j in range(40))
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    d = ids.select("doc_id", F.when(F.col("doc_id") < marked, own).otherwise(common).alias("text"))
+    return d, ids.select("doc_id", *[F.when(F.col("doc_id") < marked, x).otherwise(y).alias(c) for c, x, y in zip(("quality", "toxic"), label, (1, 0), strict=True)])
+
+
+@pytest.mark.parametrize("marked, n, size", [(20, 5000, 5), (50, 2000, 8), (100, 2000, 40)])
+def test_mixing_removes_rare_domains(spark, marked, n, size):
+    """Toxic documents with 0.05 %, 0.5 % and 5 % of the tokens are all left out, clean ones stay in number."""
+    d, labels = told_apart(spark, marked, n, size, (1, 1))
+    kept = {r.toxic: r for r in mixing.mixed(d, labels).withColumn("toxic", F.col("doc_id") < marked).groupBy("toxic").agg(F.max("rate").alias("rate"), F.sum("copies").alias("n")).collect()}
+    assert kept[True].n == 0 and kept[True].rate < 1e-6
+    assert kept[False].n == pytest.approx(n - marked, rel=0.02)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
