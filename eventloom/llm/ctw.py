@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, crc_mod, file_system, new_dir, table, text_bytes
 
 DEPTH = 5  # 6 at most: a node (context and bits) is one signed 64-bit number
-#: A node seen less often than every NODES-th byte is a leaf's missing child, so a depth has at most 8 x NODES nodes.
+#: Nodes seen at least every NODES-th byte are looked up in the task (at most 8 x NODES a depth); others are joined.
 NODES = 1 << 20
 #: Words counted at least every COMMON-th token are looked up in the task (at most COMMON of them); others are joined.
 COMMON = 1 << 21
@@ -117,68 +118,86 @@ def kt(zeros: Column, ones: Column) -> Column:
     return ln_gamma(zeros + 0.5) + ln_gamma(ones + 0.5) - math.log(math.pi) - ln_gamma(zeros + ones + 1.0)
 
 
-def tree(counts: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
-    """Nodes (depth, node, one, weight) of gram counts (key, n): KT estimate of a one, and the share it has against longer contexts.
+def _node(depth: int) -> Column:
+    """The node (context << 8 | bits so far) of ``depth`` bytes that bit j of the gram ``key`` is coded in."""
+    context = F.shiftright("key", 8).bitwiseAND((1 << 8 * depth) - 1)
+    return context * 256 + F.expr("shiftleft(1L, j)") + F.expr("shiftright(key & 255, 8 - j)")
 
-    node is (context << 8 | bits so far). Nodes seen fewer than ``least`` times count for their parents' weights
-    but are not kept.
+
+def tree(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
+    """By depth, every node (node, n, p) of gram counts (key, n): how often it is seen, and the weighted probability of a one.
+
+    p is what the node says together with all shorter contexts, so a decision needs its deepest node only: that
+    stands for what is below it.
     """
     bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
     spread = counts.select("key", "n", bits)
-    symbol, context = F.col("key").bitwiseAND(255), F.shiftright("key", 8).bitwiseAND((1 << 8 * depth) - 1)
-    prefix = F.expr("shiftleft(1L, j)") + F.expr("shiftright(key & 255, 8 - j)")
     bit = F.expr("shiftright(key & 255, 7 - j) & 1")
-    node = (context * 256 + prefix).alias("node")
-    level = spread.select(node, (F.col("n") * (1 - bit)).alias("z"), (F.col("n") * bit).alias("o")).groupBy("node").agg(F.sum("z").cast("double").alias("z"), F.sum("o").cast("double").alias("o"))
+    level = spread.select(_node(depth).alias("node"), (F.col("n") * (1 - bit)).alias("z"), (F.col("n") * bit).alias("o")).groupBy("node").agg(F.sum("z").cast("double").alias("z"), F.sum("o").cast("double").alias("o"))
     level = level.withColumn("k", kt(F.col("z"), F.col("o"))).withColumn("w", F.col("k"))
-    kept = None
+    levels = []
     for d in range(depth, -1, -1):
         level = table(level, f"tree{d}")
-        # the share of this node's own estimate; a deepest node has all of it
-        weight = F.lit(1.0) if d == depth else F.exp(F.col("k") - math.log(2) - F.col("w"))
-        rows = level.where(F.col("z") + F.col("o") >= least).select(F.lit(d).alias("depth"), "node", ((F.col("o") + 0.5) / (F.col("z") + F.col("o") + 1)).alias("one"), weight.alias("weight"))
-        kept = rows if kept is None else kept.unionByName(rows)
+        levels.insert(0, level)
         if d:
-            shorter = (F.shiftright("node", 8).bitwiseAND((1 << 8 * (d - 1)) - 1) * 256 + F.col("node").bitwiseAND(255)).alias("node")
-            up = level.select(shorter, "z", "o", "w").groupBy("node").agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("w").alias("s"))
+            up = level.select(_shorter(d).alias("node"), "z", "o", "w").groupBy("node").agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("w").alias("s"))
             up = up.withColumn("k", kt(F.col("z"), F.col("o")))
             high = F.greatest("k", "s")
             level = up.select("node", "z", "o", "k", (high + F.ln(F.exp(F.col("k") - high) + F.exp(F.col("s") - high)) - math.log(2)).alias("w"))
-    return kept
+    out: list[DataFrame] = []
+    for d in range(depth + 1):
+        # the share of this node's own estimate; a deepest node has all of it
+        weight = F.lit(1.0) if d == depth else F.exp(F.col("k") - math.log(2) - F.col("w"))
+        rows = levels[d].select("node", (F.col("z") + F.col("o")).cast("long").alias("n"), ((F.col("o") + 0.5) / (F.col("z") + F.col("o") + 1)).alias("one"), weight.alias("weight"))
+        if d:
+            above = out[-1].select(F.col("node").alias("parent"), "said", "rest")
+            rows = rows.withColumn("parent", _shorter(d)).join(above, "parent")
+        else:
+            rows = rows.select("*", F.lit(0.0).alias("said"), F.lit(1.0).alias("rest"))
+        passed = [] if d == depth else [(F.col("said") + F.col("rest") * F.col("weight") * F.col("one")).alias("said"), (F.col("rest") * (1 - F.col("weight"))).alias("rest")]
+        out.append(table(rows.select("node", "n", (F.col("said") + F.col("rest") * F.col("one")).alias("p"), *passed), f"nodes{d}"))
+    return out
+
+
+def _shorter(depth: int) -> Column:
+    """The node of one byte less that a ``node`` of this depth is below."""
+    return F.shiftright("node", 8).bitwiseAND((1 << 8 * (depth - 1)) - 1) * 256 + F.col("node").bitwiseAND(255)
+
+
+def looked_up(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(key, log10) of distinct grams (key): the log10 probability of the last byte, each bit by its deepest node of all."""
+    left = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
+    found = None
+    for d in range(len(levels) - 1, -1, -1):
+        got = table(left.withColumn("node", _node(d)).join(levels[d].select("node", "p"), "node", "left").select("key", "j", "p"), f"looked{d}")
+        hits, left = got.where("p is not null"), got.where("p is null").select("key", "j")
+        found = hits if found is None else found.unionByName(hits)
+    found = found.unionByName(left.withColumn("p", F.lit(0.5)))  # without any node: an even guess
+    bit = F.expr("shiftright(key & 255, 7 - j) & 1")
+    return found.groupBy("key").agg(F.sum(F.log10(F.when(bit == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("log10"))
 
 
 class Tree:
-    """The kept nodes, in memory of a task; gives log10 probabilities of grams.
-
-    What all shorter contexts say is summed into each node once, so a decision needs its deepest node only:
-    that stands for what is below it.
-    """
+    """The frequent nodes, in memory of a task; gives log10 probabilities of grams."""
 
     def __init__(self, level: Callable[[int], pd.DataFrame], depth: int = DEPTH):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        above: tuple = ()
         for d in range(depth + 1):
             part = level(d).sort_values("node")
-            node, one, share = part["node"].to_numpy(np.int64), part["one"].to_numpy(), part["weight"].to_numpy()
-            said, rest = np.zeros(len(node)), np.ones(len(node))
-            if d:  # the shorter context is seen at least as often, so it is kept too
-                at = np.searchsorted(above[0], ((node >> 8) & ((1 << 8 * (d - 1)) - 1)) * 256 + (node & 255))
-                said = (above[3] + above[4] * above[2] * above[1])[at]
-                rest = (above[4] * (1 - above[2]))[at]
-            self.levels.append((node, (said + rest * one).astype(np.float32)))
-            above = (node, one, share, said, rest)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """For each distinct gram, the log10 probability of its last byte after the others."""
+            self.levels.append((part["node"].to_numpy(np.int64), part["p"].to_numpy(np.float32)))
+
+    def log10(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct gram, the log10 probability of its last byte after the others, and whether all its deepest nodes are held."""
         order = np.argsort(keys)
         keys = keys[order].astype(np.int64)
-        symbol, total = keys & 255, np.zeros(len(keys))
+        symbol, total, whole = keys & 255, np.zeros(len(keys)), np.ones(len(keys), bool)
         for j in range(8):
             # grams in order: those that share context and bits so far stand together and are looked up once
             node = (keys & ~255) + (1 << j) + (symbol >> (8 - j))
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(node)), bool), node[1:] != node[:-1])))
             node, times = node[first], np.diff(np.append(first, len(keys)))
             one, left = np.full(len(node), 0.5), np.arange(len(node))  # without any node: an even guess
+            deep = np.zeros(len(node), bool)
             for d in range(len(self.levels) - 1, -1, -1):
                 nodes, p = self.levels[d]
                 if not len(nodes) or not len(left):
@@ -188,12 +207,14 @@ class Tree:
                 at[at == len(nodes)] = 0
                 hit = nodes[at] == want
                 one[left[hit]] = p[at[hit]]
+                deep[left[hit]] = d == len(self.levels) - 1
                 left = left[~hit]
+            whole &= np.repeat(deep, times)
             bit = ((symbol >> (7 - j)) & 1).astype(bool)
             total += np.where(bit, np.repeat(np.log10(one), times), np.repeat(np.log10(1 - one), times))
-        out = np.empty(len(keys))
-        out[order] = total
-        return out
+        out, held = np.empty(len(keys)), np.empty(len(keys), bool)
+        out[order], held[order] = total, whole
+        return out, held
 
 
 def _load(path: str, depth: int | None = None) -> pd.DataFrame:
@@ -225,8 +246,8 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes_per_d
     of the end only. An empty training table gives every binary decision probability 1/2.
 
     A task holds two tables whose size is bounded by parameters, whatever the corpus: tree nodes seen at least
-    every ``nodes_per_depth``-th byte and words seen at least every ``common``-th token. Rarer words are counted
-    exactly by a join. Words are told apart by 64-bit hashes.
+    every ``nodes_per_depth``-th byte and words seen at least every ``common``-th token. Grams with a rarer deepest
+    node and rarer words are resolved exactly by joins. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     seen = table(gathered(training, depth), "counts")
@@ -234,7 +255,9 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes_per_d
     n_bytes = sums[0]["n"] if 0 in sums else 0
     tokens, kinds = (sums[1]["n"], sums[1]["v"]) if 1 in sums else (0, 0)
     nodes_at, common_at = new_dir(spark, "nodes"), new_dir(spark, "common")
-    tree(seen.where("kind = 0").select("key", "n"), max(1, -(-n_bytes // nodes_per_depth)), depth).write.option("compression", "zstd").parquet(nodes_at)
+    levels, least = tree(seen.where("kind = 0").select("key", "n"), depth), max(1, -(-n_bytes // nodes_per_depth))
+    frequent = [level.where(F.col("n") >= least).select(F.lit(d).alias("depth"), "node", "p") for d, level in enumerate(levels)]
+    reduce(DataFrame.unionByName, frequent).write.option("compression", "zstd").parquet(nodes_at)
     often = max(1, -(-tokens // common))
     seen.where("kind = 1").where(F.col("n") >= often).select("key", "n").write.option("compression", "zstd").parquet(common_at)
     lower = tokens + kinds + 1
@@ -247,7 +270,10 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes_per_d
                 part = pdf.iloc[first:end]
                 wide, ends = grams([b for _, b in both], depth)
                 codes, distinct = pd.factorize(wide)
-                sums = np.add.reduceat(model.log10(distinct)[codes], ends[:-1])
+                known, held = model.log10(distinct)
+                deep = (held | (least == 1))[codes]  # with all nodes here, one that is missing was never seen
+                sums = np.add.reduceat(np.where(deep, known[codes], 0.0), ends[:-1])
+                grams_left = np.split(wide[~deep].view(np.int64), np.cumsum(np.add.reduceat((~deep).astype(np.int64), ends[:-1]))[:-1])
                 n = np.array([len(w) + 1 for w, _ in both], np.int64)
                 starts = np.concatenate(([0], np.cumsum(n)))
                 words = np.concatenate([np.append(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)), _END_WORD) for w, _ in both]).view(np.int64)
@@ -262,19 +288,23 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes_per_d
                 tails = np.split(words[rare], np.cumsum(left)[:-1])
                 yield pd.DataFrame({
                     "row": row + np.arange(len(part)), "doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_bytes": [len(b) for _, b in both], "n_tokens": n,
-                    "known": n - left, "base": np.add.reduceat(logs[codes], starts[:-1]), "score": sums, "rare": tails,
+                    "known": n - left, "base": np.add.reduceat(logs[codes], starts[:-1]), "score": sums, "rare": tails, "grams": grams_left,
                 })
                 row += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = table(rows.mapInPandas(run, "row long, doc_id long, n_bytes long, n_tokens long, known long, base double, score double, rare array<long>"), "scored")
+    scored = table(rows.mapInPandas(run, "row long, doc_id long, n_bytes long, n_tokens long, known long, base double, score double, rare array<long>, grams array<long>"), "scored")
     less = seen.where("kind = 1").where(F.col("n") < often).select("key", F.col("n").alias("c"))
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")).join(less, "key", "left")
     rest = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - math.log10(lower))).alias("less"))
-    out = scored.drop("rare").join(rest, "row", "left")
+    out = scored.drop("rare", "grams").join(rest, "row", "left").withColumn("deep", F.lit(0.0))
+    if least > 1:
+        open_grams = table(scored.select("row", F.explode("grams").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")), "open-grams")
+        resolved = open_grams.join(looked_up(open_grams.select("key").distinct(), levels), "key")
+        out = out.drop("deep").join(resolved.groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("deep")), "row", "left")
     return out.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("less", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("less", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )
 
 

@@ -321,6 +321,13 @@ def test_context_tree(spark, docs, empty):
     assert all(abs(r.score / (r.n_bytes * 8) + log10(2)) < 1e-6 for r in ctw.scores(docs, empty).collect())
 
 
+def test_context_tree_scores_rare_nodes(spark, docs):
+    """What a task holds does not change the scores: nodes that it does not hold are joined."""
+    training = docs.where("doc_id in (4, 6, 8, 11)")
+    whole, few = ({(r.doc_id, r.n_bytes): r.score for r in ctw.scores(docs, training, depth=3, nodes_per_depth=n).collect()} for n in (1 << 40, 100))
+    assert whole.keys() == few.keys() and all(few[k] == pytest.approx(whole[k], rel=1e-5) for k in whole)
+
+
 def test_mixing(spark, docs, empty):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = mixing.mixed(d, labels)
