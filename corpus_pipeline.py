@@ -27,9 +27,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_one_each(docs, 80)
 
 
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture's rates say: all tokens to what is neither toxic nor low."""
-    return mixing.resample(docs, _labels(spark, sf_dir))
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, band: float = 0.0) -> DataFrame:
+    """Documents as often as the mixture's rates say: all tokens to what is neither toxic nor low.
+
+    Documents with a rate within ``band`` of 1 stay once.
+    """
+    return mixing.resample(docs, _labels(spark, sf_dir), band=band)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

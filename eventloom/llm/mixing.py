@@ -143,13 +143,13 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 20, eta: fl
     return members.withColumn("rate", rate()), gradients
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domains: dict[str, str] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domains: dict[str, str] | None = None, band: float = 0.0) -> DataFrame:
     """One row per document: doc_id, n_tokens, p_<domain>..., rate, copies.
 
     ``weights`` are the target shares of all tokens; by default what is not marked by a label condition gets
     everything. The token budget is what the domains with a target hold now, so a pure document of a wanted
     domain keeps a rate near 1. copies is the rate rounded down or up by a hash of the id, so that the expected
-    number of copies is the rate (rates within 0.25 of 1 give one copy). Null and empty texts have no tokens,
+    number of copies is the rate; only with a ``band`` do rates within it of 1 give one copy. Null and empty texts have no tokens,
     the prior as posterior and rate as that implies; rows with a null doc_id are left out.
     """
     domains = domains or DOMAINS
@@ -162,12 +162,12 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     share = sum(weights.values())
     rated, _ = fit_rates(members, [budget * weights.get(n, 0.0) / share for n in names])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.when(F.abs(F.col("rate") - 1) <= 0.25, 1).otherwise(F.floor(F.col("rate") + chance)).cast("int")
+    copies = F.when(F.abs(F.col("rate") - 1) <= band, 1).otherwise(F.floor(F.col("rate") + chance)).cast("int")
     return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)], "rate", copies.alias("copies"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, band: float = 0.0) -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says, with all their columns."""
-    rates = mixed(docs, labels, weights).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id")
+    rates = mixed(docs, labels, weights, band=band).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id")
     taken = docs.join(rates, docs["doc_id"] == rates["_mixed_id"])
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -360,6 +360,13 @@ def test_mixing_removes_rare_domains(spark, marked, n, size):
     assert kept[False].n == pytest.approx(n - marked, rel=0.02)
 
 
+def test_resampled_totals_meet_two_targets(spark):
+    d, labels = told_apart(spark, 900, 3000, 40, (0, 0))
+    out = mixing.resample(d, labels, {"clean": 0.64, "low": 0.36})
+    assert out.where(F.col("doc_id") < 900).count() / out.count() == pytest.approx(0.36, rel=0.04)
+    assert out.count() == pytest.approx(3000, rel=0.03)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
