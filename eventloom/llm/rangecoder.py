@@ -1,10 +1,16 @@
-"""Context-mixing range coder for token ids, in independently reset blocks that are coded side by side.
+"""Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-Within a block an id is predicted three ways: by what last followed the two ids before it (order 2), what last
-followed the one before it (order 1), and how often each id has come so far (order 0, with an escape to ids that
-are new to the block). How far orders 2 and 1 are trusted is learnt from their successes at each confidence, so
-an id costs the logarithm of its probability under the mixture. Numpy runs all blocks in step: position t of
-every block is coded before position t + 1 of any.
+A block is cut into lanes of STEPS ids that are coded side by side: step t codes the t-th id of every lane, after which
+one model, shared by the lanes, learns all of them. An id's probability is the mixture
+
+    w2 P(id | two ids before) + w1 P(id | id before) + w0 P(id)
+
+where order 0 counts every id (an unseen one as 1/32), and orders 1 and 2 keep the counts of the most frequent
+successors of a context (of a lane's first ids, nothing is before). The weights depend on how much the two contexts have
+seen and how even it is; each such state learns its own by expectation maximisation. An id among the contexts'
+successors is coded by its whole mass under the mixture, any other by what is left, dealt by order 0 without those
+successors. Numpy does a step for all lanes; arithmetic is on integers and single IEEE operations, so that a reader
+on another machine repeats it.
 """
 
 from __future__ import annotations
@@ -13,113 +19,154 @@ import zlib
 
 import numpy as np
 
-BLOCK = 512  # ids a block
-LANES = 4096  # blocks that are coded side by side at most, which bounds memory
-_COARSE, _FINE = 16, BLOCK // 16
-_PAIRS = 1024  # slots for pairs of ids
-_ONE = 4096  # unit of the mixture's weights
-_MOST = _ONE - 64  # what orders 2 and 1 may weigh together
-_TOP = np.uint64(1 << 31)
-_32 = np.uint64(32)
-_SHIFT = np.uint64(12)
+STEPS = 512  # ids a lane
+BLOCK = 4096 * STEPS  # ids a block
+K1, K2 = 4, 1  # successors that a context keeps
+PAIRS = 18  # bits of a pair's place in the table of order 2
+_ONE = 1 << 18  # unit of the masses of successors and of what is left
+_SPAN = np.float32(_ONE - 256)  # so much at most for successors
+_ADD = 32  # order 0: what a sighting adds to an id's initial 1
+_FULL = 60_000  # a successor's count stands still here
+_TOP, _32, _UNIT = np.uint64(1 << 31), np.uint64(32), np.uint64(18)
+
+
+def _levels(edges: list[int]) -> np.ndarray:
+    """Level of each count up to the last edge."""
+    return np.searchsorted(np.array(edges), np.arange(edges[-1] + 1), side="right").astype(np.int32)
+
+
+_LEVEL1, _LEVEL2 = _levels([1, 3, 7, 16, 64]), _levels([1, 2, 3, 5, 9])  # six levels, for successors of one and of two ids
+_STATES = 12 * 12
+
+
+class _Followers:
+    """The most frequent successors of contexts: a row of ids (-1: none), then of their counts, for each context."""
+
+    def __init__(self, contexts: int, slots: int, level: np.ndarray):
+        self.table, self.slots, self.level = np.tile(np.array([-1] * slots + [0] * slots, np.int32), (contexts, 1)), slots, level
+
+    def look(self, at: np.ndarray) -> np.ndarray:
+        """State of each context: twice the level of its total, plus whether one successor has over half. Keeps ids, counts and shares."""
+        self.at = at
+        rows = np.ascontiguousarray(self.table.take(at, axis=0).T)
+        self.ids, self.counts = rows[: self.slots], rows[self.slots :]
+        total, most = self.counts[0], self.counts[0]
+        for c in self.counts[1:]:
+            total, most = total + c, np.maximum(most, c)
+        self.shares = self.counts.astype(np.float32) / np.maximum(total, 1).astype(np.float32)
+        return 2 * self.level.take(total, mode="clip") + (2 * most > total)
+
+    def learn(self, ids: np.ndarray) -> np.ndarray:
+        """Count the ids after the contexts last looked at; one that is not kept wears the least kept one down, then takes
+        its place. Returns the share that each id had."""
+        flat, width, base = self.table.reshape(-1), 2 * self.slots, self.at * (2 * self.slots)
+        hits = self.ids == ids
+        slot, least, known, place, share = np.zeros(len(ids), np.int32), self.counts[0], hits[0], np.zeros(len(ids), np.int32), self.shares[0] * hits[0]
+        for j in range(1, self.slots):
+            slot += (self.counts[j] < least) * (np.int32(j) - slot)
+            least, known = np.minimum(least, self.counts[j]), known | hits[j]
+            place += hits[j] * np.int32(j)
+            share = share + self.shares[j] * hits[j]
+        up = np.flatnonzero(known)
+        up = base.take(up) + (place.take(up) + self.slots)
+        np.add.at(flat, up[flat.take(up) < _FULL], 1)
+        other = np.flatnonzero(~known)
+        spot, least = base.take(other) + slot.take(other), least.take(other)
+        worn, new = least > 1, least <= 1
+        flat[spot[worn] + self.slots] -= 1
+        spot = spot[new]
+        flat[spot], flat[spot + self.slots] = ids.take(other[new]), 1
+        return share
 
 
 class _Model:
-    """Predictions of many blocks. Ids stand as slots: their order of first appearance in the block.
-
-    What followed a context is held as 8 x slot + confidence, or -1 where nothing did. Confidence 7, which -1 ends in,
-    has no trust, so that such a context has no weight. All tables are flat: a block's part starts at its multiple.
-    """
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.next1, self.next2 = np.full(lanes * BLOCK, -1, np.int16), np.full(lanes * _PAIRS, -1, np.int16)
-        first = np.array([1, 2, 4, 6, 0, 0, 0, 0], np.int32) * (_MOST // 8)
-        self.trust1, self.trust2 = np.tile(first, lanes), np.tile(first, lanes)
-        self.fine, self.coarse = np.zeros((lanes, _COARSE, _FINE), np.int16), np.zeros((lanes, _COARSE), np.int32)
-        self.distinct, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.at1, self.at2 = self.lane * BLOCK, self.lane * _PAIRS
-
-    def mixture(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights out of _ONE of the candidates of orders 2 and 1 for the first n blocks (0: no candidate)."""
-        s2, s1 = self.next2.take(self.at2[:n]), self.next1.take(self.at1[:n])
-        self.c2, self.c1, self.k2, self.k1 = s2 >> 3, s1 >> 3, s2 & 7, s1 & 7
-        row = self.lane[:n] << 3
-        self.t2, self.t1 = row + self.k2, row + self.k1
-        w2 = self.trust2.take(self.t2)
-        w1 = (self.trust1.take(self.t1) * (_MOST - w2) >> 12) * (self.c1 != self.c2)
-        return w2, w1
-
-    def below(self, lanes: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order-0 count before and of each slot."""
-        big, small = slot >> 5, slot & 31
-        cum = (self.coarse[lanes] * (np.arange(_COARSE) < big[:, None])).sum(1)
-        row = self.fine[lanes, big]
-        cum = cum + (row * (np.arange(_FINE) < small[:, None])).sum(1)
-        return cum, row[np.arange(len(row)), small].astype(np.int64)
-
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slot whose order-0 interval holds the value, with the count before and of it."""
-        sums = np.cumsum(self.coarse[lanes], axis=1)
-        big = (sums <= value[:, None]).sum(1)
-        i = np.arange(len(lanes))
-        before = sums[i, big] - self.coarse[lanes, big]
-        row = self.fine[lanes, big]
-        sums = np.cumsum(row, axis=1)
-        small = (sums <= (value - before)[:, None]).sum(1)
-        count = row[i, small].astype(np.int64)
-        return big * 32 + small, before + sums[i, small] - count, count
-
-    def update(self, n: int, slot: np.ndarray) -> None:
-        lane = self.lane[:n]
-        told = (slot << 3).astype(np.int16)
-        for c, k, t, trust, nexts, at in ((self.c2, self.k2, self.t2, self.trust2, self.next2, self.at2[:n]), (self.c1, self.k1, self.t1, self.trust1, self.next1, self.at1[:n])):
-            hit = c == slot
-            old = trust.take(t)
-            trust[t] = old + ((hit * np.int32(_MOST) - old) >> 4)
-            nexts[at] = told + np.minimum(k + 1, 3) * hit
-        at = lane * BLOCK + slot
-        self.fine.reshape(-1)[at] += 1
-        self.coarse.reshape(-1)[at >> 5] += 1
-        np.maximum(self.distinct[:n], slot + 1, out=self.distinct[:n])
-        self.at2[:n] = lane * _PAIRS + ((self.last[:n] * 37 + slot * 101 + 1) & (_PAIRS - 1))
-        self.at1[:n] = at
-        self.last[:n] = slot
+    """What a block has taught so far. ``predict`` and ``learn`` alternate, for writer and reader alike."""
+
+    def __init__(self, vocabulary: int, lanes: int):
+        self.one, self.two = _Followers(vocabulary + 1, K1, _LEVEL1), _Followers(1 << PAIRS, K2, _LEVEL2)
+        self.freq = np.ones(vocabulary, np.int32)
+        self.pending: list[np.ndarray] = []
+        self.seen = np.tile(np.array([6.0, 3.0, 3.0]), (_STATES, 1))  # order 2, 1, 0
+        self.none = vocabulary  # stands for "nothing before"
+        self.last, self.pair = np.full(lanes, self.none, np.int64), np.zeros(lanes, np.int64)
+        self.step = 0
+        self.count()
+
+    def count(self) -> None:
+        """Take the pending ids into order 0."""
+        if self.pending:
+            self.freq += (_ADD * np.bincount(np.concatenate(self.pending), minlength=self.none)).astype(np.int32)
+            self.pending = []
+        self.before = np.concatenate(([0], np.cumsum(self.freq))).astype(np.int32)
+        self.total = self.before[-1]
+
+    def predict(self, n: int) -> np.ndarray:
+        """Masses (slots x lanes) of the successors of the first n lanes' contexts, in units of _ONE."""
+        if self.step < 64 or not self.step & 7:
+            self.count()
+        self.state = 12 * self.two.look(self.pair[:n]) + self.one.look(self.last[:n])
+        weights = (self.seen / (self.seen[:, 0] + self.seen[:, 1] + self.seen[:, 2])[:, None]).astype(np.float32)
+        self.w2, self.w1, self.w0 = np.ascontiguousarray(weights.take(self.state, axis=0).T)
+        self.ids = np.concatenate((self.two.ids, self.one.ids))
+        self.freqs = self.freq.take(self.ids, mode="clip")
+        mass = np.concatenate((self.two.shares * self.w2, self.one.shares * self.w1))
+        for j in range(K1):  # a successor of both contexts stands once, in its place of order 2
+            for i in range(K2):
+                same = self.ids[i] == self.ids[K2 + j]
+                mass[i] += mass[K2 + j] * same
+                mass[K2 + j] *= ~same
+        mass += self.freqs * (self.w0 / np.float32(self.total)) * (mass > 0)
+        mass *= _SPAN
+        sizes = mass.astype(np.int32)
+        self.freqs *= sizes > 0  # what order 0 leaves out
+        return sizes
+
+    def learn(self, n: int, ids: np.ndarray) -> None:
+        self.pending.append(ids)
+        part2, part1 = self.w2 * self.two.learn(ids), self.w1 * self.one.learn(ids)
+        part0 = self.w0 * (self.freq.take(ids) / np.float32(self.total)).astype(np.float32)
+        whole = part2 + part1 + part0
+        for k, part in enumerate((part2, part1, part0)):
+            self.seen[:, k] += np.bincount(self.state, part / whole, _STATES)
+        mixed = self.last[:n] * 0x9E3779B1 + ids * np.int64(0x85EBCA6B)
+        self.pair[:n] = (mixed ^ mixed >> 15) & ((1 << PAIRS) - 1)
+        self.last[:n] = ids
+        self.step += 1
 
 
 class _Coder:
-    """Carryless range coder over 64-bit registers that moves 32 bits at a time, for many blocks."""
+    """Carryless range coder over 64-bit registers that moves 32 bits at a time, for many lanes."""
 
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 63, np.uint64)
 
-    def narrow(self, at: np.ndarray, unit: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        self.low[at] += unit * cum.astype(np.uint64)
-        size = self.range[at] = unit * freq.astype(np.uint64)
-        self.settle(at[size < _TOP])
+    def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the first n lanes to parts of _ONE."""
+        unit, width = self.range[:n] >> _UNIT, self.range[:n]
+        self.low[:n] += unit * start.astype(np.uint64)
+        np.multiply(unit, size.astype(np.uint64), out=width)
+        self.settle(np.flatnonzero(width < _TOP))
 
-    def narrow_first(self, n: int, cum: np.ndarray, freq: np.ndarray) -> None:
-        """Narrow the first n blocks by parts of _ONE."""
-        unit, size = self.range[:n] >> _SHIFT, self.range[:n]
-        self.low[:n] += unit * cum.astype(np.uint64)
-        np.multiply(unit, freq.astype(np.uint64), out=size)
-        self.settle(np.flatnonzero(size < _TOP))
+    def narrow_some(self, at: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.low[at] += unit * start.astype(np.uint64)
+        width = self.range[at] = unit * size.astype(np.uint64)
+        self.settle(at[width < _TOP])
 
     def settle(self, at: np.ndarray) -> None:
         """Move 32 bits where the range has become short."""
         if not len(at):
             return
-        low, size = self.low[at], self.range[at]
+        low, width = self.low[at], self.range[at]
         edge = ((low >> _32) + np.uint64(1)) << _32
         left = edge - low
-        split = np.flatnonzero(left < size)  # the upper halves are not settled: keep the larger side
+        split = np.flatnonzero(left < width)  # the upper halves are not settled: keep the larger side
         if len(split):
-            right = size[split] - left[split]
+            right = width[split] - left[split]
             up = right > left[split]
             low[split] = np.where(up, edge[split], low[split])
-            size[split] = np.where(up, right, left[split])
+            width[split] = np.where(up, right, left[split])
         self.move(at, low)
-        self.low[at], self.range[at] = low << _32, size << _32
+        self.low[at], self.range[at] = low << _32, width << _32
 
     def move(self, at: np.ndarray, low: np.ndarray) -> None:
         raise NotImplementedError
@@ -128,146 +175,146 @@ class _Coder:
 class _Writer(_Coder):
     def __init__(self, lanes: int):
         super().__init__(lanes)
-        self.out, self.n = np.zeros((lanes, 64), np.uint32), np.zeros(lanes, np.int64)
+        self.out, self.n = np.zeros((lanes, 64), "<u4"), np.zeros(lanes, np.int64)
 
     def move(self, at: np.ndarray, low: np.ndarray) -> None:
         if self.n.max() + 3 > self.out.shape[1]:
             self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
-        self.out[at, self.n[at]] = (low >> _32).astype(np.uint32)
+        self.out[at, self.n[at]] = low >> _32
         self.n[at] += 1
 
-    def put(self, at: np.ndarray, total: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        self.narrow(at, self.range[at] // total.astype(np.uint64), cum, freq)
-
-    def finish(self) -> list[bytes]:
-        end = self.low + (self.range >> np.uint64(1))
-        at = np.arange(len(end))
-        for word in (end, end << _32):
-            self.move(at, word)
-        return [self.out[i, :k].astype("<u4").tobytes() for i, k in enumerate(self.n.tolist())]
+    def finish(self) -> bytes:
+        """Each lane's number of words, deflated, then all words. A reader takes what is missing at a lane's end as zeros."""
+        at = np.arange(len(self.n))
+        above = ((self.low - np.uint64(1)) >> _32) + np.uint64(1)  # the least word whose value is not below low
+        short = (self.low > 0) & (above < _TOP << np.uint64(1)) & ((above << _32) - self.low < self.range)
+        end = np.where(short, above << _32, self.low + (self.range >> np.uint64(1)))
+        self.move(at, end)
+        self.move(at[~short], end[~short] << _32)
+        counts = zlib.compress(self.n.astype("<u2" if self.n.max() < 1 << 16 else "<u4").tobytes())
+        words = self.out[np.arange(self.out.shape[1]) < self.n[:, None]]
+        return len(counts).to_bytes(4, "little") + counts + words.tobytes()
 
 
 class _Reader(_Coder):
-    def __init__(self, parts: list[bytes]):
-        super().__init__(len(parts))
-        width = max(len(p) for p in parts) // 4 + 2
-        self.words = np.zeros((len(parts), width), np.uint64)
-        for i, p in enumerate(parts):
-            w = np.frombuffer(p, "<u4")
-            self.words[i, : len(w)] = w
+    def __init__(self, data: bytes, lanes: int):
+        super().__init__(lanes)
+        size = 4 + int.from_bytes(data[:4], "little")
+        raw = zlib.decompress(data[4:size])
+        counts = np.frombuffer(raw, "<u2" if len(raw) == 2 * lanes else "<u4").astype(np.int64)
+        self.words = np.zeros((lanes, int(counts.max()) + 2), np.uint64)
+        self.words[np.arange(self.words.shape[1]) < counts[:, None]] = np.frombuffer(data, "<u4", offset=size)
         self.code = self.words[:, 0] << _32 | self.words[:, 1]
-        self.n = np.full(len(parts), 2, np.int64)
+        self.n = np.full(lanes, 2, np.int64)
 
     def move(self, at: np.ndarray, low: np.ndarray) -> None:
         self.code[at] = self.code[at] << _32 | self.words[at, np.minimum(self.n[at], self.words.shape[1] - 1)]
         self.n[at] += 1
 
-    def value(self, at: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        unit = self.range[at] // total.astype(np.uint64)
-        return unit, np.minimum((self.code[at] - self.low[at]) // unit, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-
-def _slots(ids: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Order of first appearance of each id in its block; ids is (lanes x BLOCK), padded at the end of blocks."""
-    lanes = len(ids)
-    narrow = ids.astype(np.uint16 if vocabulary <= 1 << 16 else np.uint32)  # short integers sort by radix
-    order = np.argsort(narrow, axis=1, kind="stable")
-    ranked = np.take_along_axis(narrow, order, 1)
-    starts = np.ones(ids.shape, bool)
-    starts[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-    place = (order + (np.arange(lanes) * BLOCK)[:, None]).ravel()
-    first = place[starts.ravel()]
-    is_first = np.zeros(ids.size, np.int64)
-    is_first[first] = 1
-    nth = np.cumsum(is_first.reshape(lanes, BLOCK), axis=1).ravel() - 1
-    out = np.empty(ids.size, np.int64)
-    out[place] = nth[first][np.cumsum(starts.ravel()) - 1]
-    return out.reshape(lanes, BLOCK)
-
-
-def _encode(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> list[bytes]:
-    """``sizes`` must descend."""
-    lanes = len(sizes)
-    model, coder = _Model(lanes), _Writer(lanes)
-    slots, ids = np.ascontiguousarray(_slots(ids, vocabulary).T), np.ascontiguousarray(ids.T)
-    for t in range(int(sizes[0])):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
-        slot = slots[t, :n]
-        w2, w1 = model.mixture(n)
-        is2, is1 = (w2 > 0) & (model.c2 == slot), (w1 > 0) & (model.c1 == slot)
-        both = w2 + w1
-        coder.narrow_first(n, np.where(is2, 0, np.where(is1, w2, both)), np.where(is2, w2, np.where(is1, w1, _ONE - both)))
-        rest = np.flatnonzero(~(is2 | is1))
-        escape = np.maximum(model.distinct[rest], 1)
-        cum, freq, new = np.full(len(rest), t), escape.copy(), slot[rest] == model.distinct[rest]
-        old = np.flatnonzero(~new)
-        cum[old], freq[old] = model.below(rest[old], slot[rest[old]])
-        coder.put(rest, t + escape, cum, freq)
-        fresh = rest[new]
-        coder.put(fresh, np.full(len(fresh), vocabulary), ids[t, fresh], np.ones(len(fresh), np.int64))
-        model.update(n, slot)
+
+def _shape(n: int) -> tuple[int, np.ndarray]:
+    """Lanes of a block of n ids, and how many of them have an id at each step."""
+    lanes = -(-n // STEPS)
+    active = np.full(min(n, STEPS), lanes)
+    active[n - STEPS * (lanes - 1) :] = lanes - 1
+    return lanes, active
+
+
+def _encode(ids: np.ndarray, vocabulary: int) -> bytes:
+    lanes, active = _shape(len(ids))
+    wide = np.zeros(lanes * STEPS, np.int32)
+    wide[: len(ids)] = ids
+    wide = np.ascontiguousarray(wide.reshape(lanes, STEPS).T)
+    model, coder = _Model(vocabulary, lanes), _Writer(lanes)
+    for t, n in enumerate(active.tolist()):
+        one = wide[t, :n]
+        sizes = model.predict(n)
+        start, size, edge = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for i, row in enumerate(sizes):
+            row_hit = row * (model.ids[i] == one)
+            start += edge * (row_hit > 0)
+            size += row_hit
+            edge = edge + row
+        rest = np.flatnonzero(size == 0)
+        start[rest] = edge[rest]
+        size[rest] = _ONE - edge[rest]
+        coder.narrow(n, start, size)
+        some = one.take(rest)
+        left, before = np.full(len(rest), model.total), model.before.take(some)
+        out = model.freqs.take(rest, axis=1)
+        smaller = out * (model.ids.take(rest, axis=1) < some)
+        for i in range(K1 + K2):
+            left -= out[i]
+            before -= smaller[i]
+        coder.narrow_some(rest, coder.range.take(rest) // left.astype(np.uint64), before, model.freq.take(some))
+        model.learn(n, one)
     return coder.finish()
 
 
-def _decode(parts: list[bytes], sizes: np.ndarray, vocabulary: int) -> np.ndarray:
-    lanes = len(sizes)
-    model, coder = _Model(lanes), _Reader(parts)
-    ids, known = np.zeros((BLOCK, lanes), np.int64), np.zeros((lanes, BLOCK), np.int64)
-    for t in range(int(sizes[0])):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
-        w2, w1 = model.mixture(n)
-        unit, into, both = coder.range[:n] >> _SHIFT, coder.code[:n] - coder.low[:n], w2 + w1
-        is2 = into < unit * w2.astype(np.uint64)
-        is1 = ~is2 & (into < unit * both.astype(np.uint64))
-        coder.narrow_first(n, np.where(is2, 0, np.where(is1, w2, both)), np.where(is2, w2, np.where(is1, w1, _ONE - both)))
-        slot = np.where(is2, model.c2, np.where(is1, model.c1, -1)).astype(np.int64)
-        rest = np.flatnonzero(slot < 0)
-        escape = np.maximum(model.distinct[rest], 1)
-        unit, v = coder.value(rest, t + escape)
-        new = v >= t
-        old = np.flatnonzero(~new)
-        cum, freq = np.full(len(rest), t), escape.copy()
-        slot[rest] = model.distinct[rest]
-        if len(old):
-            slot[rest[old]], cum[old], freq[old] = model.find(rest[old], v[old])
-        coder.narrow(rest, unit, cum, freq)
-        fresh = rest[new]
-        unit, v = coder.value(fresh, np.full(len(fresh), vocabulary))
-        coder.narrow(fresh, unit, v, np.ones(len(fresh), np.int64))
-        known[fresh, slot[fresh]] = v
-        ids[t, :n] = known.reshape(-1).take(model.lane[:n] * BLOCK + slot)
-        model.update(n, slot)
-    return ids.T
+def _decode(data: bytes, count: int, vocabulary: int) -> np.ndarray:
+    lanes, active = _shape(count)
+    model, coder = _Model(vocabulary, lanes), _Reader(data, lanes)
+    wide = np.zeros((STEPS, lanes), np.int32)
+    for t, n in enumerate(active.tolist()):
+        sizes = model.predict(n)
+        unit = coder.range[:n] >> _UNIT
+        value = np.minimum((coder.code[:n] - coder.low[:n]) // unit, np.uint64(_ONE - 1)).astype(np.int32)
+        one, start, size, edge = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for i, row in enumerate(sizes):
+            end = edge + row
+            hit = (edge <= value) & (value < end)
+            one += (model.ids[i] + 1) * hit
+            start += edge * hit
+            size += row * hit
+            edge = end
+        rest = np.flatnonzero(size == 0)
+        start[rest] = edge[rest]
+        size[rest] = _ONE - edge[rest]
+        coder.narrow(n, start, size)
+        out = model.freqs.take(rest, axis=1)
+        left = np.full(len(rest), model.total)
+        for row in out:
+            left -= row
+        wide_left = left.astype(np.uint64)
+        unit = coder.range.take(rest) // wide_left
+        value = np.minimum((coder.code.take(rest) - coder.low.take(rest)) // unit, wide_left - np.uint64(1)).astype(np.int32)
+        edges = model.before.take(model.ids.take(rest, axis=1), mode="clip")
+        # move the value past the ids that order 0 leaves out, until it passes no further one
+        gone = np.zeros(len(rest), np.int32)
+        for _ in range(K1 + K2 + 1):
+            passed = out * (edges <= value + gone)
+            now = passed[0]
+            for row in passed[1:]:
+                now = now + row
+            if (now == gone).all():
+                break
+            gone = now
+        some = (np.searchsorted(model.before, value + gone, side="right") - 1).astype(np.int32)
+        np.minimum(some, vocabulary - 1, out=some)  # only where bytes were damaged
+        before = model.before.take(some)
+        coder.narrow_some(rest, unit, before - gone, model.freq.take(some))
+        one[rest] = some
+        wide[t, :n] = one
+        model.learn(n, one)
+    return wide.T.reshape(-1)[:count]
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[tuple[int, int, bytes]]:
     """(ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block."""
-    out = []
     raw = np.ascontiguousarray(ids, "<u4")
-    for a in range(0, len(raw), BLOCK * LANES):
-        part = raw[a : a + BLOCK * LANES]
-        lanes = -(-len(part) // BLOCK)
-        sizes = np.full(lanes, BLOCK, np.int64)
-        sizes[-1] = len(part) - BLOCK * (lanes - 1)
-        wide = np.zeros(lanes * BLOCK, np.int64)
-        wide[: len(part)] = part
-        coded = _encode(wide.reshape(lanes, BLOCK), sizes, vocabulary)
-        out += [(int(n), zlib.crc32(part[i * BLOCK : i * BLOCK + int(n)]), c) for i, (n, c) in enumerate(zip(sizes, coded, strict=True))]
-    return out
+    parts = [raw[a : a + BLOCK] for a in range(0, len(raw), BLOCK)]
+    return [(len(p), zlib.crc32(p), _encode(p, vocabulary)) for p in parts]
 
 
 def decode_blocks(blocks: list[tuple[int, int, bytes]], vocabulary: int) -> np.ndarray:
-    """The ids of any blocks, in their order; a block whose checksum fails raises ValueError."""
+    """The ids of any blocks, in their order; a block that is damaged or whose checksum fails raises ValueError."""
     out: list[np.ndarray] = []
-    for a in range(0, len(blocks), LANES):
-        part = blocks[a : a + LANES]
-        sizes = np.array([n for n, _, _ in part], np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        ids = np.empty((len(part), BLOCK), np.int64)
-        ids[order] = _decode([part[i][2] for i in order.tolist()], sizes[order], vocabulary)
-        for (n, crc, _), row in zip(part, ids, strict=True):
-            one = row[:n].astype("<u4")
-            if zlib.crc32(one) != crc:
-                raise ValueError("a block does not match its checksum")
-            out.append(one)
+    for n, crc, coded in blocks:
+        try:
+            one = _decode(coded, n, vocabulary).astype("<u4")
+        except (zlib.error, IndexError) as e:
+            raise ValueError("a block is damaged") from e
+        if zlib.crc32(one) != crc:
+            raise ValueError("a block does not match its checksum")
+        out.append(one)
     return np.concatenate(out) if out else np.empty(0, "<u4")

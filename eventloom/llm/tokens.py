@@ -3,61 +3,116 @@
 from __future__ import annotations
 
 import os
-from array import array
+from collections.abc import Iterator
+
+import numpy as np
 
 from .shared import text_bytes
 
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
+class _Recent:
+    """Bytes to bytes, in two generations: what the older one alone knows moves up when asked for, the rest leaves with it."""
+
+    def __init__(self, keep: int):
+        self.keep, self.now, self.before = keep, {}, {}
+
+    def missing(self, words: set[bytes]) -> list[bytes]:
+        """Words of neither generation; the others are in ``now`` afterwards."""
+        if len(self.now) > self.keep:
+            self.now, self.before = {}, self.now
+        unknown, before = words.difference(self.now), self.before
+        found = {w: before[w] for w in unknown if w in before}
+        self.now.update(found)
+        return sorted(unknown.difference(found))
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose pre-tokens never span white space, and remembers the ids of words.
 
     Ids come from the tokenizers library alone. As it drops white space and never joins across it, a text's ids are
-    its words' ids one after another. Where it also ignores case and keeps letters and digits apart from signs, a word
-    is encoded in lower case as what stands before its last signs and those; words with ``<`` may hold an added token
-    and are left as they are. A test compares with whole texts.
+    its words' ids one after another. Where it also ignores case and keeps letters and digits apart from signs, an ASCII
+    word is encoded in lower case, and a word is encoded as what stands before its last signs and those. Words with ``<``
+    may hold an added token, and a letter may become another one with the mark after it: such words keep their case.
+    New words of letters only are encoded together and told apart by tokens that end a word, where the tokenizer has
+    such tokens and they are as many as the words. A test compares with whole texts.
     """
 
     SIGNS = b".,!?;:%"
+    #: Bytes of text whose words are looked up together.
+    RUN = 2_000_000
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known, self.parts = Tokenizer.from_file(path), keep, {}, {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), _Recent(keep), _Recent(keep)
         whole, stem, signs = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("Word" + self.SIGNS.decode(), "word", self.SIGNS.decode()))
-        self.splits = whole == stem + signs
+        self.splits, self.ends = whole == stem + signs, None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def words(self, text: str | None) -> list[bytes]:
+        data = text_bytes(text)
+        # the marks that may follow an ASCII letter, U+0300 to U+036F, start with these two bytes
+        if self.splits and not (b"<" in data or b"\xcc" in data or b"\xcd" in data):
+            data = data.lower()
+        return data.split()
 
     def split(self, word: bytes) -> tuple[bytes, bytes]:
         if not self.splits or b"<" in word:
             return word, b""
-        word = word.lower()
+        if word.isascii():
+            word = word.lower()
         stem = word.rstrip(self.SIGNS)
         return (stem, word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
 
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(one.ids, "<u4") for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_parts(self, new: list[bytes]) -> None:
+        texts = [p.decode("utf-8", "replace") for p in new]
+        together = [i for i, t in enumerate(texts) if t.isalpha()] if self.ends is not None else []
+        runs = [together[a : a + 256] for a in range(0, len(together), 256)]
+        alone = sorted(set(range(len(new))).difference(together))
+        for run, ids in zip(runs, self.encoded([" ".join([texts[i] for i in run]) for run in runs]), strict=True):
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(run):
+                alone += run
+                continue
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(run, (4 * last + 4).tolist(), strict=True):
+                self.parts.now[new[i]], at = raw[at:end], end
+        for a in range(0, len(alone), 8192):
+            some = alone[a : a + 8192]
+            self.parts.now.update((new[i], ids.tobytes()) for i, ids in zip(some, self.encoded([texts[i] for i in some]), strict=True))
+
     def learn(self, words: list[bytes]) -> None:
         pairs = [self.split(w) for w in words]
-        new = sorted({part for pair in pairs for part in pair}.difference(self.parts))
-        for a in range(0, len(new), 8192):
-            some = new[a : a + 8192]
-            coded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            self.parts.update((p, array("I", one.ids).tobytes()) for p, one in zip(some, coded, strict=True))
-        get = self.parts.__getitem__
-        self.known.update((w, get(stem) + get(signs)) for w, (stem, signs) in zip(words, pairs, strict=True))
-
-    def __call__(self, texts) -> list[bytes]:
+        self.learn_parts(self.parts.missing({part for pair in pairs for part in pair}))
+        get = self.parts.now.__getitem__
+        self.known.now.update((w, get(stem) + get(signs) if signs else get(stem)) for w, (stem, signs) in zip(words, pairs, strict=True))
+
+    def __call__(self, texts) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; None counts as empty."""
-        words = [text_bytes(t).split() for t in texts]
-        new = set().union(*words).difference(self.known) if words else set()
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            self.parts.clear()
-            new = set().union(*words)
+        held, size = [], 0
+        for text in texts:
+            held.append(self.words(text))
+            size += len(text or "")
+            if size >= self.RUN:
+                yield from self._coded(held)
+                held, size = [], 0
+        yield from self._coded(held)
+
+    def _coded(self, words: list[list[bytes]]) -> Iterator[bytes]:
+        new = self.known.missing(set().union(*words))
         if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            self.learn(new)
+        get = self.known.now.__getitem__
+        return (b"".join(map(get, w)) for w in words)
 
 
 def encoder(path: str) -> WordEncoder:
