@@ -1,16 +1,15 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
 A block is cut into lanes of STEPS ids that are coded side by side: step t codes the t-th id of every lane, after which
-one model, shared by the lanes, learns all of them. An id's probability is the mixture
+one model, shared by the lanes, learns all of them. Three orders predict an id: what mostly followed the two ids before
+it (order 2: one successor), what mostly followed the one before it (order 1: two successors), and how often each id has
+come so far (order 0, where an unseen id counts 1/32). An id's probability is the mixture
 
-    w2 P(id | two ids before) + w1 P(id | id before) + w0 P(id)
+    l2 [id = successor of order 2] + l1 [id = first of order 1] + l1' [id = second of order 1] + l0 P0(id | none of these)
 
-where order 0 counts every id (an unseen one as 1/32), and orders 1 and 2 keep the counts of the most frequent
-successors of a context (of a lane's first ids, nothing is before). The weights depend on how much the two contexts have
-seen and how even it is; each such state learns its own by expectation maximisation. An id among the contexts'
-successors is coded by its whole mass under the mixture, any other by what is left, dealt by order 0 without those
-successors. Numpy does a step for all lanes; arithmetic is on integers and single IEEE operations, so that a reader
-on another machine repeats it.
+with weights learnt for each joint state of the successors' confidences, as often as each order was right in it. Of a
+lane's first ids nothing is before. Numpy does a step for all lanes at once; the arithmetic is on integers and single
+IEEE divisions, so that a reader on another machine repeats it.
 """
 
 from __future__ import annotations
@@ -19,197 +18,168 @@ import zlib
 
 import numpy as np
 
-STEPS = 512  # ids a lane
-BLOCK = 4096 * STEPS  # ids a block
-K1, K2 = 4, 1  # successors that a context keeps
+STEPS = 256  # ids a lane
+BLOCK = 8192 * STEPS  # ids a block
 PAIRS = 18  # bits of a pair's place in the table of order 2
-_ONE = 1 << 18  # unit of the masses of successors and of what is left
-_SPAN = np.float32(_ONE - 256)  # so much at most for successors
+_UNIT = np.uint64(38)  # bits of the mixture's mass
+_WHOLE = 1 << 38
 _ADD = 32  # order 0: what a sighting adds to an id's initial 1
-_FULL = 60_000  # a successor's count stands still here
-_TOP, _32, _UNIT = np.uint64(1 << 31), np.uint64(32), np.uint64(18)
-
-
-def _levels(edges: list[int]) -> np.ndarray:
-    """Level of each count up to the last edge."""
-    return np.searchsorted(np.array(edges), np.arange(edges[-1] + 1), side="right").astype(np.int32)
-
-
-_LEVEL1, _LEVEL2 = _levels([1, 3, 7, 16, 64]), _levels([1, 2, 3, 5, 9])  # six levels, for successors of one and of two ids
-_STATES = 12 * 12
-
-
-class _Followers:
-    """The most frequent successors of contexts: a row of ids (-1: none), then of their counts, for each context."""
-
-    def __init__(self, contexts: int, slots: int, level: np.ndarray):
-        self.table, self.slots, self.level = np.tile(np.array([-1] * slots + [0] * slots, np.int32), (contexts, 1)), slots, level
-
-    def look(self, at: np.ndarray) -> np.ndarray:
-        """State of each context: twice the level of its total, plus whether one successor has over half. Keeps ids, counts and shares."""
-        self.at = at
-        rows = np.ascontiguousarray(self.table.take(at, axis=0).T)
-        self.ids, self.counts = rows[: self.slots], rows[self.slots :]
-        total, most = self.counts[0], self.counts[0]
-        for c in self.counts[1:]:
-            total, most = total + c, np.maximum(most, c)
-        self.shares = self.counts.astype(np.float32) / np.maximum(total, 1).astype(np.float32)
-        return 2 * self.level.take(total, mode="clip") + (2 * most > total)
-
-    def learn(self, ids: np.ndarray) -> np.ndarray:
-        """Count the ids after the contexts last looked at; one that is not kept wears the least kept one down, then takes
-        its place. Returns the share that each id had."""
-        flat, width, base = self.table.reshape(-1), 2 * self.slots, self.at * (2 * self.slots)
-        hits = self.ids == ids
-        slot, least, known, place, share = np.zeros(len(ids), np.int32), self.counts[0], hits[0], np.zeros(len(ids), np.int32), self.shares[0] * hits[0]
-        for j in range(1, self.slots):
-            slot += (self.counts[j] < least) * (np.int32(j) - slot)
-            least, known = np.minimum(least, self.counts[j]), known | hits[j]
-            place += hits[j] * np.int32(j)
-            share = share + self.shares[j] * hits[j]
-        up = np.flatnonzero(known)
-        up = base.take(up) + (place.take(up) + self.slots)
-        np.add.at(flat, up[flat.take(up) < _FULL], 1)
-        other = np.flatnonzero(~known)
-        spot, least = base.take(other) + slot.take(other), least.take(other)
-        worn, new = least > 1, least <= 1
-        flat[spot[worn] + self.slots] -= 1
-        spot = spot[new]
-        flat[spot], flat[spot + self.slots] = ids.take(other[new]), 1
-        return share
+_BUCKETS = 16  # bits of the index into order 0
+_CONF, _MOST = 3, 7  # successors are id << _CONF | confidence, which is 0 only where there is none
+_STATES = 8 * 8 * 8 * 3
+_TOP, _16, _48 = np.uint64(1 << 47), np.uint64(16), np.uint64(48)
 
 
 class _Model:
     """What a block has taught so far. ``predict`` and ``learn`` alternate, for writer and reader alike."""
 
     def __init__(self, vocabulary: int, lanes: int):
-        self.one, self.two = _Followers(vocabulary + 1, K1, _LEVEL1), _Followers(1 << PAIRS, K2, _LEVEL2)
-        self.freq = np.ones(vocabulary, np.int32)
-        self.pending: list[np.ndarray] = []
-        self.seen = np.tile(np.array([6.0, 3.0, 3.0]), (_STATES, 1))  # order 2, 1, 0
-        self.none = vocabulary  # stands for "nothing before"
-        self.last, self.pair = np.full(lanes, self.none, np.int64), np.zeros(lanes, np.int64)
-        self.step = 0
-        self.count()
-
-    def count(self) -> None:
-        """Take the pending ids into order 0."""
+        self.none = vocabulary  # the id that stands for nothing; order 0 gives it no part
+        empty = np.int64(vocabulary << _CONF)
+        self.one, self.two = np.full(vocabulary + 1, empty << 32 | empty, np.int64), np.full(1 << PAIRS, empty, np.int32)
+        self.counts, self.pending = np.zeros(vocabulary, np.int64), []
+        state = np.arange(_STATES)
+        same, second, first, two = state % 3, state // 3 % 8, state // 24 % 8, state // 192
+        # a weight starts with its confidence; none where the successor is missing or stands in another place
+        self.right = np.stack((two * 1.0, first * 0.5 * (same != 1), second * 0.25 * (same != 2), np.full(_STATES, 2.0)), axis=1)
+        self.last, self.pair, self.step = np.full(lanes, self.none, np.int64), np.zeros(lanes, np.int64), 0
+
+    def refresh(self) -> None:
+        """Take what was learnt into order 0 and the weights: each step at first, then every sixteenth."""
         if self.pending:
-            self.freq += (_ADD * np.bincount(np.concatenate(self.pending), minlength=self.none)).astype(np.int32)
+            self.counts += np.bincount(np.concatenate(self.pending), minlength=self.none)
             self.pending = []
-        self.before = np.concatenate(([0], np.cumsum(self.freq))).astype(np.int32)
-        self.total = self.before[-1]
-
-    def predict(self, n: int) -> np.ndarray:
-        """Masses (slots x lanes) of the successors of the first n lanes' contexts, in units of _ONE."""
-        if self.step < 64 or not self.step & 7:
-            self.count()
-        self.state = 12 * self.two.look(self.pair[:n]) + self.one.look(self.last[:n])
-        weights = (self.seen / (self.seen[:, 0] + self.seen[:, 1] + self.seen[:, 2])[:, None]).astype(np.float32)
-        self.w2, self.w1, self.w0 = np.ascontiguousarray(weights.take(self.state, axis=0).T)
-        self.ids = np.concatenate((self.two.ids, self.one.ids))
-        self.freqs = self.freq.take(self.ids, mode="clip")
-        mass = np.concatenate((self.two.shares * self.w2, self.one.shares * self.w1))
-        for j in range(K1):  # a successor of both contexts stands once, in its place of order 2
-            for i in range(K2):
-                same = self.ids[i] == self.ids[K2 + j]
-                mass[i] += mass[K2 + j] * same
-                mass[K2 + j] *= ~same
-        mass += self.freqs * (self.w0 / np.float32(self.total)) * (mass > 0)
-        mass *= _SPAN
-        sizes = mass.astype(np.int32)
-        self.freqs *= sizes > 0  # what order 0 leaves out
-        return sizes
-
-    def learn(self, n: int, ids: np.ndarray) -> None:
+        freq = _ADD * self.counts + 1
+        before = np.concatenate(([0], np.cumsum(freq)))
+        self.total, self.before = int(before[-1]), before
+        self.spans = before << 32 | np.append(freq, 0)  # where an id begins, and its frequency
+        self.shift = max(0, self.total.bit_length() - _BUCKETS)
+        starts = before[:-1] + (1 << self.shift) - 1 >> self.shift
+        self.index = np.cumsum(np.bincount(starts, minlength=(self.total >> self.shift) + 2)) - 1
+        share = self.right / (self.right[:, 0] + self.right[:, 1] + self.right[:, 2] + self.right[:, 3])[:, None]
+        sizes = (share[:, :3] * float(_WHOLE - (_WHOLE >> 9))).astype(np.int64)
+        ends = np.cumsum(sizes, axis=1)
+        self.starts = np.concatenate((np.zeros((_STATES, 1), np.int64), ends), axis=1)
+        self.sizes = np.concatenate((sizes, _WHOLE - ends[:, 2:]), axis=1)
+
+    def predict(self, n: int) -> None:
+        """Successors of the first n lanes' contexts and their joint state."""
+        if self.step < 12 or not self.step & 15:
+            self.refresh()
+        self.at2, self.at1 = self.pair[:n], self.last[:n]
+        self.e2 = self.two.take(self.at2)
+        pairs = self.one.take(self.at1)
+        self.ea, self.eb = (pairs >> 32).astype(np.int32), pairs.astype(np.int32)
+        self.c2, self.ca, self.cb = self.e2 >> _CONF, self.ea >> _CONF, self.eb >> _CONF
+        self.f2, self.fa, self.fb = self.e2 & _MOST, self.ea & _MOST, self.eb & _MOST
+        same_a, same_b = self.ca == self.c2, self.cb == self.c2
+        self.state = ((self.f2 * 8 + self.fa) * 8 + self.fb) * 3 + same_a + 2 * (same_b & ~same_a)
+        self.places = [self.c2, np.where(same_a, self.none, self.ca), np.where(same_b, self.none, self.cb)]
+        self.gone = [self.spans.take(c) for c in self.places]  # what order 0 leaves out
+
+    def learn(self, n: int, ids: np.ndarray, place: np.ndarray) -> None:
+        """``place``: four times the state, plus which of the mixture's four parts coded each id."""
         self.pending.append(ids)
-        part2, part1 = self.w2 * self.two.learn(ids), self.w1 * self.one.learn(ids)
-        part0 = self.w0 * (self.freq.take(ids) / np.float32(self.total)).astype(np.float32)
-        whole = part2 + part1 + part0
-        for k, part in enumerate((part2, part1, part0)):
-            self.seen[:, k] += np.bincount(self.state, part / whole, _STATES)
+        self.right += np.bincount(place, minlength=4 * _STATES).reshape(_STATES, 4)
+        new = ids << _CONF | 1
+        up2 = self.e2 + (self.f2 < _MOST)
+        down2 = np.where(self.f2 > 1, self.e2 - (self.f2 + 1 >> 1), new)
+        self.two[self.at2] = np.where(self.c2 == ids, up2, down2)
+        is_a, is_b = self.ca == ids, self.cb == ids
+        miss = ~(is_a | is_b)
+        worn = miss & (self.fb <= 1)
+        b = np.where(worn, new, self.eb + (is_b & (self.fb < _MOST)) - (miss & (self.fb > 1)))
+        a = self.ea + (is_a & (self.fa < _MOST)) - (worn & (self.fa > 1))
+        swap = (b & _MOST) > (a & _MOST)
+        high, low = np.where(swap, b, a), np.where(swap, a, b)
+        self.one[self.at1] = high.astype(np.int64) << 32 | low
         mixed = self.last[:n] * 0x9E3779B1 + ids * np.int64(0x85EBCA6B)
         self.pair[:n] = (mixed ^ mixed >> 15) & ((1 << PAIRS) - 1)
         self.last[:n] = ids
         self.step += 1
 
 
-class _Coder:
-    """Carryless range coder over 64-bit registers that moves 32 bits at a time, for many lanes."""
+class _Writer:
+    """Range coder over 64-bit registers that moves 16 bits at a time, for many lanes; carries go into words already written."""
 
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 63, np.uint64)
-
-    def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        """Narrow the first n lanes to parts of _ONE."""
-        unit, width = self.range[:n] >> _UNIT, self.range[:n]
-        self.low[:n] += unit * start.astype(np.uint64)
+        self.out, self.n = np.zeros((lanes, 64), "<u2"), np.zeros(lanes, np.int64)
+
+    def put(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the first n lanes."""
+        low, width = self.low[:n], self.range[:n]
+        unit = width >> _UNIT
+        add = unit * start.astype(np.uint64)
+        low += add
+        self.carry(np.flatnonzero(low < add))
         np.multiply(unit, size.astype(np.uint64), out=width)
-        self.settle(np.flatnonzero(width < _TOP))
-
-    def narrow_some(self, at: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[at] += unit * start.astype(np.uint64)
-        width = self.range[at] = unit * size.astype(np.uint64)
-        self.settle(at[width < _TOP])
-
-    def settle(self, at: np.ndarray) -> None:
-        """Move 32 bits where the range has become short."""
-        if not len(at):
-            return
-        low, width = self.low[at], self.range[at]
-        edge = ((low >> _32) + np.uint64(1)) << _32
-        left = edge - low
-        split = np.flatnonzero(left < width)  # the upper halves are not settled: keep the larger side
-        if len(split):
-            right = width[split] - left[split]
-            up = right > left[split]
-            low[split] = np.where(up, edge[split], low[split])
-            width[split] = np.where(up, right, left[split])
-        self.move(at, low)
-        self.low[at], self.range[at] = low << _32, width << _32
-
-    def move(self, at: np.ndarray, low: np.ndarray) -> None:
-        raise NotImplementedError
-
-
-class _Writer(_Coder):
-    def __init__(self, lanes: int):
-        super().__init__(lanes)
-        self.out, self.n = np.zeros((lanes, 64), "<u4"), np.zeros(lanes, np.int64)
-
-    def move(self, at: np.ndarray, low: np.ndarray) -> None:
-        if self.n.max() + 3 > self.out.shape[1]:
+        at = np.flatnonzero(width < _TOP)
+        while len(at):
+            self.move(at)
+            width[at] <<= _16
+            at = at[width.take(at) < _TOP]
+
+    def carry(self, at: np.ndarray) -> None:
+        place = self.n.take(at) - 1
+        while len(at):
+            self.out[at, place] += np.uint16(1)
+            over = self.out[at, place] == 0
+            at, place = at[over], place[over] - 1
+
+    def move(self, at: np.ndarray) -> None:
+        place = self.n.take(at)
+        if place.max() + 4 > self.out.shape[1]:
             self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
-        self.out[at, self.n[at]] = low >> _32
-        self.n[at] += 1
+        low = self.low.take(at)
+        self.out[at, place] = low >> _48
+        self.low[at] = low << _16
+        self.n[at] = place + 1
 
     def finish(self) -> bytes:
         """Each lane's number of words, deflated, then all words. A reader takes what is missing at a lane's end as zeros."""
+        # the range is 2^47 at least: the next multiple of 2^47 lies in it, and has two words
+        half = np.uint64((1 << 47) - 1)
+        add = (half - ((self.low - np.uint64(1)) & half)) & half
+        self.low += add
         at = np.arange(len(self.n))
-        above = ((self.low - np.uint64(1)) >> _32) + np.uint64(1)  # the least word whose value is not below low
-        short = (self.low > 0) & (above < _TOP << np.uint64(1)) & ((above << _32) - self.low < self.range)
-        end = np.where(short, above << _32, self.low + (self.range >> np.uint64(1)))
-        self.move(at, end)
-        self.move(at[~short], end[~short] << _32)
-        counts = zlib.compress(self.n.astype("<u2" if self.n.max() < 1 << 16 else "<u4").tobytes())
+        self.carry(np.flatnonzero(self.low < add))
+        for _ in range(2):
+            self.move(at)
+        counts = zlib.compress(self.n.astype("<u2").tobytes())
         words = self.out[np.arange(self.out.shape[1]) < self.n[:, None]]
         return len(counts).to_bytes(4, "little") + counts + words.tobytes()
 
 
-class _Reader(_Coder):
+class _Reader:
     def __init__(self, data: bytes, lanes: int):
-        super().__init__(lanes)
         size = 4 + int.from_bytes(data[:4], "little")
-        raw = zlib.decompress(data[4:size])
-        counts = np.frombuffer(raw, "<u2" if len(raw) == 2 * lanes else "<u4").astype(np.int64)
-        self.words = np.zeros((lanes, int(counts.max()) + 2), np.uint64)
-        self.words[np.arange(self.words.shape[1]) < counts[:, None]] = np.frombuffer(data, "<u4", offset=size)
-        self.code = self.words[:, 0] << _32 | self.words[:, 1]
-        self.n = np.full(lanes, 2, np.int64)
-
-    def move(self, at: np.ndarray, low: np.ndarray) -> None:
-        self.code[at] = self.code[at] << _32 | self.words[at, np.minimum(self.n[at], self.words.shape[1] - 1)]
-        self.n[at] += 1
+        counts = np.frombuffer(zlib.decompress(data[4:size]), "<u2").astype(np.int64)
+        self.words = np.zeros((lanes, int(counts.max()) + 5), "<u2")
+        self.words[np.arange(self.words.shape[1]) < counts[:, None]] = np.frombuffer(data, "<u2", offset=size)
+        self.into, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 63, np.uint64)
+        for i in range(4):
+            self.into = self.into << _16 | self.words[:, i]
+        self.flat = self.words.reshape(-1)
+        self.at = np.arange(lanes) * self.words.shape[1] + 4
+        self.end = self.at - 5 + self.words.shape[1]  # a zero beyond each lane's words
+
+    def value(self, n: int) -> np.ndarray:
+        """Where in the whole mass the first n lanes stand."""
+        self.unit = self.range[:n] >> _UNIT
+        return np.minimum(self.into[:n] // self.unit, np.uint64(_WHOLE - 1)).astype(np.int64)
+
+    def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        into, width = self.into[:n], self.range[:n]
+        into -= self.unit * start.astype(np.uint64)
+        np.multiply(self.unit, size.astype(np.uint64), out=width)
+        at = np.flatnonzero(width < _TOP)
+        while len(at):
+            place = self.at.take(at)
+            into[at] = into.take(at) << _16 | self.flat.take(place)
+            self.at[at] = np.minimum(place + 1, self.end.take(at))
+            width[at] <<= _16
+            at = at[width.take(at) < _TOP]
 
 
 def _shape(n: int) -> tuple[int, np.ndarray]:
@@ -228,77 +198,75 @@ def _encode(ids: np.ndarray, vocabulary: int) -> bytes:
     model, coder = _Model(vocabulary, lanes), _Writer(lanes)
     for t, n in enumerate(active.tolist()):
         one = wide[t, :n]
-        sizes = model.predict(n)
-        start, size, edge = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-        for i, row in enumerate(sizes):
-            row_hit = row * (model.ids[i] == one)
-            start += edge * (row_hit > 0)
-            size += row_hit
-            edge = edge + row
-        rest = np.flatnonzero(size == 0)
-        start[rest] = edge[rest]
-        size[rest] = _ONE - edge[rest]
-        coder.narrow(n, start, size)
-        some = one.take(rest)
-        left, before = np.full(len(rest), model.total), model.before.take(some)
-        out = model.freqs.take(rest, axis=1)
-        smaller = out * (model.ids.take(rest, axis=1) < some)
-        for i in range(K1 + K2):
-            left -= out[i]
-            before -= smaller[i]
-        coder.narrow_some(rest, coder.range.take(rest) // left.astype(np.uint64), before, model.freq.take(some))
-        model.learn(n, one)
+        model.predict(n)
+        c2, ca, cb = model.places
+        part = np.where(c2 == one, 0, np.where(ca == one, 1, np.where(cb == one, 2, 3)))
+        place = model.state * 4 + part
+        start, size = model.starts.take(place), model.sizes.take(place)
+        rest = part == 3
+        span, low = model.spans.take(one), np.int64(0xFFFFFFFF)
+        before, left = span >> 32, np.full(n, model.total)
+        for c, gone in zip(model.places, model.gone, strict=True):
+            gone = gone & low
+            left -= gone
+            before -= gone * (c < one)
+        scale = (size / np.maximum(left, 1)).astype(np.int64)
+        start += before * scale * rest
+        np.copyto(size, (span & low) * scale, where=rest)
+        coder.put(n, start, size)
+        model.learn(n, one, place)
     return coder.finish()
 
 
 def _decode(data: bytes, count: int, vocabulary: int) -> np.ndarray:
     lanes, active = _shape(count)
     model, coder = _Model(vocabulary, lanes), _Reader(data, lanes)
-    wide = np.zeros((STEPS, lanes), np.int32)
+    wide, low = np.zeros((STEPS, lanes), np.int32), np.int64(0xFFFFFFFF)
     for t, n in enumerate(active.tolist()):
-        sizes = model.predict(n)
-        unit = coder.range[:n] >> _UNIT
-        value = np.minimum((coder.code[:n] - coder.low[:n]) // unit, np.uint64(_ONE - 1)).astype(np.int32)
-        one, start, size, edge = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-        for i, row in enumerate(sizes):
-            end = edge + row
-            hit = (edge <= value) & (value < end)
-            one += (model.ids[i] + 1) * hit
-            start += edge * hit
-            size += row * hit
-            edge = end
-        rest = np.flatnonzero(size == 0)
-        start[rest] = edge[rest]
-        size[rest] = _ONE - edge[rest]
-        coder.narrow(n, start, size)
-        out = model.freqs.take(rest, axis=1)
-        left = np.full(len(rest), model.total)
-        for row in out:
-            left -= row
-        wide_left = left.astype(np.uint64)
-        unit = coder.range.take(rest) // wide_left
-        value = np.minimum((coder.code.take(rest) - coder.low.take(rest)) // unit, wide_left - np.uint64(1)).astype(np.int32)
-        edges = model.before.take(model.ids.take(rest, axis=1), mode="clip")
-        # move the value past the ids that order 0 leaves out, until it passes no further one
-        gone = np.zeros(len(rest), np.int32)
-        for _ in range(K1 + K2 + 1):
-            passed = out * (edges <= value + gone)
-            now = passed[0]
-            for row in passed[1:]:
-                now = now + row
-            if (now == gone).all():
-                break
-            gone = now
-        some = (np.searchsorted(model.before, value + gone, side="right") - 1).astype(np.int32)
-        np.minimum(some, vocabulary - 1, out=some)  # only where bytes were damaged
-        before = model.before.take(some)
-        coder.narrow_some(rest, unit, before - gone, model.freq.take(some))
-        one[rest] = some
+        model.predict(n)
+        value, edges = coder.value(n), model.starts.take(model.state, axis=0)
+        part = (value >= edges[:, 1]).astype(np.int64) + (value >= edges[:, 2]) + (value >= edges[:, 3])
+        place = model.state * 4 + part
+        start, size = model.starts.take(place), model.sizes.take(place)
+        one = np.where(part == 0, model.c2, np.where(part == 1, model.ca, model.cb))
+        at = np.flatnonzero(part == 3)
+        rest = size.take(at)
+        a, b, c = (g.take(at) for g in model.gone)
+        scale = (rest / np.maximum(model.total - (a & low) - (b & low) - (c & low), 1)).astype(np.int64)
+        into = ((value.take(at) - start.take(at)) / np.maximum(scale, 1)).astype(np.int64)
+        # past the ids that order 0 leaves out, in their order
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        b, c = np.minimum(b, c), np.maximum(b, c)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        passed = np.zeros(len(at), np.int64)
+        for span in (a, b, c):
+            passed += (span & low) * (into + passed >= span >> 32)
+        into += passed
+        some = _found(model, into)
+        span = model.spans.take(some)
+        start[at] += ((span >> 32) - passed) * scale
+        size[at] = (span & low) * scale
+        one[at] = some
+        coder.take(n, start, size)
         wide[t, :n] = one
-        model.learn(n, one)
+        model.learn(n, one, place)
     return wide.T.reshape(-1)[:count]
 
 
+def _found(model: _Model, into: np.ndarray) -> np.ndarray:
+    """The id whose part of order 0 holds each value."""
+    into = np.minimum(into, model.total - 1)  # only where bytes were damaged
+    some = model.index.take(into >> model.shift)
+    for _ in range(3):
+        later = model.before.take(some + 1) <= into
+        if not later.any():
+            return some
+        some += later
+    left = np.flatnonzero(model.before.take(some + 1) <= into)
+    some[left] = np.searchsorted(model.before, into.take(left), side="right") - 1
+    return some
+
+
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[tuple[int, int, bytes]]:
     """(ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block."""
     raw = np.ascontiguousarray(ids, "<u4")
