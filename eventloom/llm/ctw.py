@@ -8,8 +8,7 @@ against what its longer contexts say, at every depth. The tree is built bottom u
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +20,8 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, crc_mod, file_system, new_dir, table, text_bytes
 
 DEPTH = 5  # 6 at most: a node (context and bits) is one signed 64-bit number
-#: Nodes seen at least every NODES-th byte are looked up in the task (at most 8 x NODES a depth); others are joined.
-NODES = 1 << 20
-#: Words counted at least every COMMON-th token are looked up in the task (at most COMMON of them); others are joined.
-COMMON = 1 << 21
+#: Grams and words that a task holds at most: the most frequent ones (12 and 16 bytes each); others are joined.
+HELD_GRAMS, HELD_WORDS = 1 << 23, 1 << 22
 END = b"\n"
 _END_WORD = np.uint64(0x9E3779B97F4A7C15)  # the end token's hash
 
@@ -177,137 +174,141 @@ def looked_up(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return found.groupBy("key").agg(F.sum(F.log10(F.when(bit == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("log10"))
 
 
-class Tree:
-    """The frequent nodes, in memory of a task; gives log10 probabilities of grams."""
-
-    def __init__(self, level: Callable[[int], pd.DataFrame], depth: int = DEPTH):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        for d in range(depth + 1):
-            part = level(d).sort_values("node")
-            self.levels.append((part["node"].to_numpy(np.int64), part["p"].to_numpy(np.float32)))
-
-    def log10(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each distinct gram, the log10 probability of its last byte after the others, and whether all its deepest nodes are held."""
-        order = np.argsort(keys)
-        keys = keys[order].astype(np.int64)
-        symbol, total, whole = keys & 255, np.zeros(len(keys)), np.ones(len(keys), bool)
-        for j in range(8):
-            # grams in order: those that share context and bits so far stand together and are looked up once
-            node = (keys & ~255) + (1 << j) + (symbol >> (8 - j))
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(node)), bool), node[1:] != node[:-1])))
-            node, times = node[first], np.diff(np.append(first, len(keys)))
-            one, left = np.full(len(node), 0.5), np.arange(len(node))  # without any node: an even guess
-            deep = np.zeros(len(node), bool)
-            for d in range(len(self.levels) - 1, -1, -1):
-                nodes, p = self.levels[d]
-                if not len(nodes) or not len(left):
-                    continue
-                want = node[left] & ((1 << 8 * (d + 1)) - 1)
-                at = np.searchsorted(nodes, want)
-                at[at == len(nodes)] = 0
-                hit = nodes[at] == want
-                one[left[hit]] = p[at[hit]]
-                deep[left[hit]] = d == len(self.levels) - 1
-                left = left[~hit]
-            whole &= np.repeat(deep, times)
-            bit = ((symbol >> (7 - j)) & 1).astype(bool)
-            total += np.where(bit, np.repeat(np.log10(one), times), np.repeat(np.log10(1 - one), times))
-        out, held = np.empty(len(keys)), np.empty(len(keys), bool)
-        out[order], held[order] = total, whole
-        return out, held
-
-
-def _load(path: str, depth: int | None = None) -> pd.DataFrame:
-    """A written table (or the nodes of one depth), read inside a task from the shared folder."""
-    import pyarrow.dataset as ds
-
-    fs, where = file_system(path)
-    return ds.dataset(where, filesystem=fs, format="parquet").to_table(filter=None if depth is None else ds.field("depth") == depth).to_pandas()
-
-
-_LOADED: dict[str, tuple] = {}
-
-
-def _model(nodes: str, common: str, depth: int) -> tuple[Tree, np.ndarray, np.ndarray]:
-    if nodes not in _LOADED:
-        _LOADED.clear()
-        words = _load(common).sort_values("key")
-        _LOADED[nodes] = Tree(lambda d: _load(nodes, d), depth), words["key"].to_numpy(np.int64), words["n"].to_numpy(np.int64)
+def told(counts: DataFrame, deepest: DataFrame, depth: int) -> DataFrame:
+    """(key, n, log10) of the grams (key, n) that were learnt from: all their decisions have nodes of full depth."""
+    bits = counts.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).withColumn("node", _node(depth))
+    bit = F.expr("shiftright(key & 255, 7 - j) & 1")
+    return bits.join(deepest.select("node", "p"), "node").groupBy("key").agg(F.first("n").alias("n"), F.sum(F.log10(F.when(bit == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("log10"))
+
+
+def least_held(counts: DataFrame, most: int) -> int:
+    """The smallest count, on a scale of quarters of powers of two, that at most ``most`` rows (n) reach."""
+    step = F.floor(4 * F.log2(F.col("n").cast("double"))).cast("int").alias("step")
+    left = most
+    for r in sorted(counts.groupBy(step).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.step):
+        left -= r.rows
+        if left < 0:
+            return math.floor(2 ** ((r.step + 1) / 4)) + 1
+    return 1
+
+
+class _Held:
+    """Sorted keys and their values, read inside a task from a table that was written in order of keys."""
+
+    def __init__(self, path: str, value: str):
+        import pyarrow.dataset as ds
+
+        fs, where = file_system(path)
+        keys, values = [np.empty(0, np.int64)], []
+        for part in sorted(ds.dataset(where, filesystem=fs, format="parquet").get_fragments(), key=lambda f: f.path):
+            rows = part.to_table(columns=["key", value])
+            keys.append(rows["key"].to_numpy())
+            values.append(rows[value].to_numpy())
+        self.keys, self.values = np.concatenate(keys), np.concatenate(values) if values else np.empty(0)
+        if (self.keys[1:] < self.keys[:-1]).any():
+            order = np.argsort(self.keys)
+            self.keys, self.values = self.keys[order], self.values[order]
         pa.default_memory_pool().release_unused()
-    return _LOADED[nodes]
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each key (0 where it is not held), and whether it is held."""
+        codes, distinct = pd.factorize(keys)
+        order = np.argsort(distinct)
+        at = np.searchsorted(self.keys, distinct[order])
+        at[at == len(self.keys)] = 0
+        hit = (self.keys[at] == distinct[order]) if len(self.keys) else np.zeros(len(at), bool)
+        value, held = np.zeros(len(at)), np.zeros(len(at), bool)
+        value[order], held[order] = (np.where(hit, self.values[at], 0.0) if len(self.keys) else 0.0), hit
+        return value[codes], held[codes]
+
+
+_LOADED: dict[str, tuple[_Held, _Held]] = {}
+
+
+def _held(grams_at: str, words_at: str) -> tuple[_Held, _Held]:
+    if grams_at not in _LOADED:
+        _LOADED.clear()
+        _LOADED[grams_at] = _Held(grams_at, "log10"), _Held(words_at, "n")
+    return _LOADED[grams_at]
 
-def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes_per_depth: int = NODES, common: int = COMMON) -> DataFrame:
+
+def _in_order(rows: DataFrame, path: str) -> None:
+    rows.repartitionByRange("key").sortWithinPartitions("key").write.option("compression", "zstd").parquet(path)
+
+
+def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, held_grams: int = HELD_GRAMS, held_words: int = HELD_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score.
 
     score is log10 of the context tree's probability of the text (words with A-Z lowered, joined by one space,
     then an end); -score / n_bytes / log10(2) is its code length in bits a byte. base_score is the add-one unigram
     over words and ends. Everything is counted over all of ``training``, whole texts. Null and empty texts consist
-    of the end only. An empty training table gives every binary decision probability 1/2.
-
-    A task holds two tables whose size is bounded by parameters, whatever the corpus: tree nodes seen at least
-    every ``nodes_per_depth``-th byte and words seen at least every ``common``-th token. Grams with a rarer deepest
-    node and rarer words are resolved exactly by joins. Words are told apart by 64-bit hashes.
+    of the end only; rows with a null doc_id are scored, too. An empty training table gives every binary decision
+    probability 1/2.
+
+    The log probability of a byte after its context is worked out once for every distinct gram of the training texts.
+    A task holds those of the ``held_grams`` most frequent grams and the ``held_words`` most frequent words (as many
+    whole steps of a quarter of a power of two as fit), a bound whatever the corpus. Rarer ones are resolved exactly by
+    joins, and grams that training has not seen by their deepest nodes in the whole tree. Words are told apart by 64-bit
+    hashes.
     """
     spark = docs.sparkSession
     seen = table(gathered(training, depth), "counts")
     sums = {r["kind"]: r for r in seen.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    n_bytes = sums[0]["n"] if 0 in sums else 0
     tokens, kinds = (sums[1]["n"], sums[1]["v"]) if 1 in sums else (0, 0)
-    nodes_at, common_at = new_dir(spark, "nodes"), new_dir(spark, "common")
-    levels, least = tree(seen.where("kind = 0").select("key", "n"), depth), max(1, -(-n_bytes // nodes_per_depth))
-    frequent = [level.where(F.col("n") >= least).select(F.lit(d).alias("depth"), "node", "p") for d, level in enumerate(levels)]
-    reduce(DataFrame.unionByName, frequent).write.option("compression", "zstd").parquet(nodes_at)
-    often = max(1, -(-tokens // common))
-    seen.where("kind = 1").where(F.col("n") >= often).select("key", "n").write.option("compression", "zstd").parquet(common_at)
-    lower = tokens + kinds + 1
+    grams_seen, lower = seen.where("kind = 0").select("key", "n"), math.log10(tokens + kinds + 1)
+    levels = tree(grams_seen, depth)
+    known = table(told(grams_seen, levels[depth], depth), "grams")
+    words_seen = seen.where("kind = 1").select("key", "n", (F.log10(F.col("n") + 1.0) - lower).alias("base"))
+    grams_at, words_at = new_dir(spark, "held-grams"), new_dir(spark, "held-words")
+    least, often = least_held(known, held_grams), least_held(words_seen, held_words)
+    _in_order(known.where(F.col("n") >= least).select("key", F.col("log10").cast("float").alias("log10")), grams_at)
+    _in_order(words_seen.where(F.col("n") >= often).select("key", F.col("n").cast("double").alias("n")), words_at)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, keys, counts = _model(nodes_at, common_at, depth)
+        told_grams, told_words = _held(grams_at, words_at)
         hashes, row = WordHashes(), TaskContext.get().partitionId() << 40
         for pdf in batches:
             for first, end, both in _parts(pdf["text"]):
                 part = pdf.iloc[first:end]
                 wide, ends = grams([b for _, b in both], depth)
-                codes, distinct = pd.factorize(wide)
-                known, held = model.log10(distinct)
-                deep = (held | (least == 1))[codes]  # with all nodes here, one that is missing was never seen
-                sums = np.add.reduceat(np.where(deep, known[codes], 0.0), ends[:-1])
-                grams_left = np.split(wide[~deep].view(np.int64), np.cumsum(np.add.reduceat((~deep).astype(np.int64), ends[:-1]))[:-1])
+                value, held = told_grams.find(wide.view(np.int64))
+                open_grams = _split(wide[~held].view(np.int64), ~held, ends)
                 n = np.array([len(w) + 1 for w, _ in both], np.int64)
                 starts = np.concatenate(([0], np.cumsum(n)))
                 words = np.concatenate([np.append(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)), _END_WORD) for w, _ in both]).view(np.int64)
-                codes, distinct = pd.factorize(words)
-                at = np.searchsorted(keys, distinct)
-                at[at == len(keys)] = 0
-                hit = (keys[at] == distinct) if len(keys) else np.zeros(len(distinct), bool)
-                logs = np.where(hit, np.log10((counts[at] if len(keys) else 0) + 1.0) - math.log10(lower), 0.0)
-                rare = ~hit[codes]
-                doc = np.repeat(np.arange(len(part)), n)
-                left = np.bincount(doc[rare], minlength=len(part))
-                tails = np.split(words[rare], np.cumsum(left)[:-1])
+                times, common = told_words.find(words)
+                base = np.where(common, np.log10(times + 1) - lower, 0.0)
                 yield pd.DataFrame({
-                    "row": row + np.arange(len(part)), "doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_bytes": [len(b) for _, b in both], "n_tokens": n,
-                    "known": n - left, "base": np.add.reduceat(logs[codes], starts[:-1]), "score": sums, "rare": tails, "grams": grams_left,
+                    "row": row + np.arange(len(part)), "doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_bytes": np.diff(ends), "n_tokens": n, "known": np.add.reduceat(common.astype(np.int64), starts[:-1]),
+                    "base": np.add.reduceat(base, starts[:-1]), "score": np.add.reduceat(value, ends[:-1]), "rare": _split(words[~common], ~common, starts), "grams": open_grams,
                 })
                 row += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = table(rows.mapInPandas(run, "row long, doc_id long, n_bytes long, n_tokens long, known long, base double, score double, rare array<long>, grams array<long>"), "scored")
-    less = seen.where("kind = 1").where(F.col("n") < often).select("key", F.col("n").alias("c"))
-    rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")).join(less, "key", "left")
-    rest = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - math.log10(lower))).alias("less"))
-    out = scored.drop("rare", "grams").join(rest, "row", "left").withColumn("deep", F.lit(0.0))
-    if least > 1:
-        open_grams = table(scored.select("row", F.explode("grams").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")), "open-grams")
-        resolved = open_grams.join(looked_up(open_grams.select("key").distinct(), levels), "key")
-        out = out.drop("deep").join(resolved.groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("deep")), "row", "left")
+    times = F.count(F.lit(1)).alias("times")
+    rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(times).join(words_seen.where(F.col("n") < often), "key", "left")
+    rest = rare.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.coalesce("base", F.lit(-lower))).alias("less"))
+    open_grams = table(scored.select("row", F.explode("grams").alias("key")).groupBy("row", "key").agg(times), "open-grams")
+    asked = open_grams.select("key").distinct().join(known.where(F.col("n") < least).select("key", "log10"), "key", "left")
+    asked = table(asked, "asked")
+    new = asked.where("log10 is null").select("key")
+    resolved = asked.where("log10 is not null")
+    if not new.isEmpty():
+        resolved = resolved.unionByName(looked_up(new, levels))
+    deep = open_grams.join(resolved, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("deep"))
+    out = scored.drop("rare", "grams").join(rest, "row", "left").join(deep, "row", "left")
     return out.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("less", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )
 
 
+def _split(values: np.ndarray, chosen: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The chosen values of each of the stretches that ``ends`` bounds."""
+    return np.split(values, np.cumsum(np.add.reduceat(chosen.astype(np.int64), ends[:-1]))[:-1])
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows that may be learnt from: crc32 of the id as text, modulo 7, is not 2."""
     return docs.where(crc_mod("doc_id", 7) != 2)
