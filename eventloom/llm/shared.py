@@ -16,11 +16,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Paths written by this process, for ``forget``.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode, where that is unset, a local one."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="eventloom-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,7 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete all tables and files that the operators wrote in this process, once no DataFrame over them is used any more."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +55,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_once(rows: DataFrame, once: DataFrame, key: str, n: str = "n", share: int = 1000) -> DataFrame:
+    """Inner join with a written table that has each key once, with the number ``n`` of rows that have it.
+
+    Keys of at least a ``share``-th of all counted rows are at most ``share``: they are broadcast, so their rows stay where they
+    are, and no key of the shuffled rest has more than a ``share``-th.
+    """
+    least = (once.agg(F.sum(n)).first()[0] or 0) / share
+    hot = F.broadcast(once.where(F.col(n) >= least))
+    rest = rows.join(F.broadcast(once.where(F.col(n) >= least).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(once.where(F.col(n) < least), key))
+
+
 def file_system(uri: str):
     """pyarrow's file system and plain path of a URI; used inside tasks to write and read binary formats."""
     from pyarrow import fs

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_dir, table, text_bytes, write_whole
+from .shared import file_system, join_once, new_dir, table, text_bytes, write_whole
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -33,36 +33,40 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'page:{page_id}')}>"
+def record_id(page_id, digest: str, *revisit) -> str:
+    """Of a response, by page and payload, so that revisits can name it; of a revisit also by its place."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE_ID, ':'.join(map(str, ('page', page_id, digest, *revisit))))}>"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to, refers_url, date: str) -> bytes:
-    """A response record, or, when it refers to another page, a revisit record without the payload."""
-    revisit = refers_to is not None
+def target_uri(url: str | None, page_id) -> str:
+    return " ".join((url or "").split()) or f"urn:page:{page_id}"
+
+
+def record(page_id, url: str | None, payload: bytes, refers_to, refers_url, date: str, place: str = "") -> bytes:
+    """A response record, or, when it refers to a page, a revisit record without the payload."""
+    revisit, digest = refers_to is not None, digest_of(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    uri = " ".join((url or f"urn:page:{page_id}").split()) or f"urn:page:{page_id}"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest, *([place] if revisit else []))}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {target_uri(url, page_id)}",
         "Content-Type: application/http; msgtype=response",
-        f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-Id: {page_id}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Target-URI: {target_uri(refers_url, refers_to)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
     body = http if revisit else http + payload
     return ("\r\n".join([*head, f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """From records spread evenly over the archive, up to SAMPLE_BYTES; empty where there is too little to learn from."""
+    """From whole records spread evenly over the archive, about SAMPLE_BYTES; empty where there is too little to learn from."""
     sizes = np.array([len(r) for r in records], np.int64)
     step = max(1, -(-int(sizes.sum()) // SAMPLE_BYTES))
-    sample = [r[:32_768] for r in records[::step]]
+    sample = [r[a : a + 32_768] for r in records[::step] for a in range(0, len(r), 32_768)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, sample)) // 4), sample, level=3).as_bytes() if len(sample) >= 8 else b""
     except zstandard.ZstdError:
@@ -129,15 +133,30 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``pages`` (page_id, url, html) plus refers_to and refers_url: the page whose response a revisit repeats, else null.
 
     Of pages whose payload (the html in UTF-8; null counts as empty) is equal and at least ``least_bytes`` long,
-    the one with the largest page_id responds. Payloads count as equal when length, SHA-1 and a second hash are.
+    the one with the largest page_id responds; of rows that repeat this page_id with this payload, one with the largest
+    url, and the others revisit it. A page_id with different payloads is as many pages. Rows with a null page_id are
+    left out. Payloads count as equal when length, SHA-1 and a second hash are.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("page_id is not null")
-    keyed = rows.withColumn("k", F.struct(F.sha1(payload).alias("a"), F.xxhash64(payload).alias("b"), F.length(payload).alias("n")))
-    chief = keyed.where(F.col("k.n") >= least_bytes).groupBy("k").agg(F.max(F.struct("page_id", "url")).alias("chief"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # only pages that revisit need the join: the others' html is never moved for it
-    ids = keyed.select("page_id", "k").join(chief, "k").where(F.col("page_id") < F.col("chief.page_id")).select("page_id", F.col("chief.page_id").alias("refers_to"), F.col("chief.url").alias("refers_url")).distinct()
-    return rows.join(ids, "page_id", "left")
+    key = F.concat_ws(":", F.sha1(payload), F.xxhash64(payload).cast("string"), F.length(payload).cast("string"))
+    keyed = rows.select("page_id", "url", key.alias("k"), F.length(payload).alias("bytes"))
+    first = F.max(F.struct("page_id", "url"))
+    # a page once with its number of rows, then a payload once: both combine before the shuffle
+    each = keyed.where(F.col("bytes") >= least_bytes).groupBy("k", "page_id").agg(first.alias("chief"), F.count(F.lit(1)).alias("rows"))
+    chiefs = each.groupBy("k").agg(F.max(F.struct("chief", "rows")).alias("top"), F.sum("rows").alias("n")).where("n > 1")
+    chiefs = table(chiefs.select("k", "top.chief", F.col("top.rows").alias("times"), "n"), "chiefs")
+    told = join_once(keyed.select("page_id", "k"), chiefs, "k").where((F.col("page_id") < F.col("chief.page_id")) | (F.col("times") > 1))
+    told = told.select("page_id", "k", F.col("chief.page_id").alias("refers_to"), F.col("chief.url").alias("refers_url")).distinct()
+    out = rows.withColumn("k", key).join(told, ["page_id", "k"], "left").select("page_id", "url", "html", "refers_to", "refers_url")
+    if chiefs.where("times > 1").isEmpty():
+        return out
+    # rows that repeat the responding page: all but one of them revisit it
+    twice = out.where("page_id = refers_to").groupBy("page_id", "url", "refers_to", "refers_url", "html").agg(F.count(F.lit(1)).alias("n"))
+    copy = twice.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    responds = (F.col("i") == 1) & F.col("url").eqNullSafe(F.col("refers_url"))
+    copy = copy.select("page_id", "url", "html", *[F.when(~responds, F.col(c)).alias(c) for c in ("refers_to", "refers_url")])
+    return out.where("refers_to is null or page_id <> refers_to").unionByName(copy)
 
 
 def write_archives(pages: DataFrame, out: str, least_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", archive_bytes: int = 32_000_000) -> DataFrame:
@@ -156,7 +175,7 @@ def write_archives(pages: DataFrame, out: str, least_bytes: int = 0, date: str =
 
         for pdf in batches:
             for page_id, url, html, refers, refers_url in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["refers_url"], strict=True):
-                one = record(int(page_id), url, text_bytes(html), None if pd.isna(refers) else int(refers), refers_url, date)
+                one = record(int(page_id), url, text_bytes(html), None if pd.isna(refers) else int(refers), refers_url, date, f"{task}-{number}-{len(held)}")
                 held.append(one)
                 size += len(one)
                 if size >= archive_bytes:

@@ -168,6 +168,20 @@ def test_media(docs, empty, spark):
 
     png = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in ((b"IHDR", b"\0" * 13), (b"IEND", b"")))
     sound, packed = media.wav(b"abc"), gzip.compress(b"hello")
+    first = b"%PDF-1.4\n1 0 obj\nendobj\nxref\n0 1\ntrailer\nstartxref\n23\n%%EOF\n"
+    saved = first + b"2 0 obj\nendobj\nxref\n0 1\ntrailer\nstartxref\n" + str(len(first) + 15).encode() + b"\n%%EOF"
+    import io
+    import zipfile
+
+    def zipped(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    nested = zipped("outer", zipped("inner", b"x"))
+    assert media.Sniffer()(b".." + saved + b"--" + nested + b"%PDF-1.4 startxref 5 %%EOF") == [(2, len(saved), "application/pdf"), (4 + len(saved), len(nested), "application/zip")]
+    assert media.Sniffer()(b"%PDF-1.7 PK\x03\x04" * 200_000) == []  # linear in the text
     df = spark.createDataFrame([(1, b"junk" + png + b"RIFFxx" + sound + packed + b"tail", "image/bmp"), (2, png, "text/plain"), (3, None, "a/b"), (4, png[:-1], None), (5, b"", None)], "id int, media binary, declared string")
     rows = {r.id: r for r in media.sniff(df, "media", "declared").collect()}
     assert rows[1].media_type == "image/bmp" and [(e.type, bytes(e.bytes)) for e in rows[1].embedded] == [("image/png", png), ("audio/wav", sound), ("application/gzip", packed)]
@@ -189,6 +203,22 @@ def test_warc(spark):
     assert {r.record_type for r in warc.read_archives(warc.write_archives(pages, shared.new_dir(spark, "warc"), 5)).where("page_id in (1, 2)").collect()} == {"response"}
 
 
+def test_warc_repeated_and_null_pages(spark):
+    """A page_id with two payloads keeps both; of rows that repeat the responding page one responds; null ids are left out."""
+    rows = [(5, "u1", "a"), (5, "u2", "zzz"), (7, "v", "a"), (8, None, "b"), (5, "u3", "b"), (9, "x", "c"), (9, "x", "c"), (9, "y", "c"), (3, "w", "c"), (None, "n", "d"), (4, None, None), (4, "z", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("clash")).withColumn("k", F.lit(0))
+    got = warc.archived(pages).collect()
+    kept = [r for r in rows if r[0] is not None]
+    assert sorted((r.page_id, r.payload_digest) for r in got) == sorted((i, warc.digest_of((h or "").encode())) for i, _, h in kept)
+    for html in {h or "" for _, _, h in kept}:
+        same = [r for r in got if r.payload_digest == warc.digest_of(html.encode())]
+        chief = max(i for i, _, h in kept if (h or "") == html)
+        assert [(r.page_id, bytes(r.payload)) for r in same if r.record_type == "response"] == [(chief, html.encode())]
+        assert all(r.refers_to == chief for r in same if r.record_type == "revisit")
+    raw = warc.record(5, "u1", b"a", 7, "v", "2026-01-01T00:00:00Z", "0-0-0")
+    assert b"WARC-Refers-To-Target-URI: v\r\n" in raw and warc.record_id(7, warc.digest_of(b"a")).encode() in raw
+
+
 def test_quality(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -295,7 +325,7 @@ def test_packing(docs, real, empty):
 
 def test_context_tree(spark, docs, empty):
     small = spark.createDataFrame([(20, "abra cadabra"), (21, "Abra"), (22, "bar abba")], "doc_id long, text string")
-    got = {r.doc_id: r for r in ctw.scores(docs.unionByName(small.select("doc_id", "text", F.lit("x").alias("lang"), F.lit(0.0).alias("score"))), small, depth=2, nodes_per_depth=1 << 40).collect() if r.doc_id}
+    got = {r.doc_id: r for r in ctw.scores(docs.unionByName(small.select("doc_id", "text", F.lit("x").alias("lang"), F.lit(0.0).alias("score"))), small, depth=2).collect() if r.doc_id}
     counts = {}
     texts = [ctw.coded(t)[1] for t in ("abra cadabra", "Abra", "bar abba")]
     for b in texts:
@@ -344,11 +374,12 @@ def test_context_tree(spark, docs, empty):
     assert all(abs(r.score / (r.n_bytes * 8) + log10(2)) < 1e-6 for r in ctw.scores(docs, empty).collect())
 
 
-def test_context_tree_scores_rare_nodes(spark, docs):
-    """What a task holds does not change the scores: nodes that it does not hold are joined."""
-    training = docs.where("doc_id in (4, 6, 8, 11)")
-    whole, few = ({(r.doc_id, r.n_bytes): r.score for r in ctw.scores(docs, training, depth=3, nodes_per_depth=n).collect()} for n in (1 << 40, 100))
-    assert whole.keys() == few.keys() and all(few[k] == pytest.approx(whole[k], rel=1e-5) for k in whole)
+@pytest.mark.parametrize("depth", [3, ctw.DEPTH])
+def test_context_tree_scores_rare_grams(spark, docs, real, depth):
+    """What a task holds does not change the scores: grams and words that it does not hold are joined."""
+    training = docs.where("doc_id in (4, 6, 8, 11)").select("doc_id", "text").unionByName(real.select("doc_id", "text").limit(20))
+    whole, few = (sorted((r.doc_id or -1, r.n_bytes, r.n_known, round(r.base_score, 4), r.score) for r in ctw.scores(docs, training, depth, *held).collect()) for held in ((), (100, 20)))
+    assert [r[:4] for r in whole] == [r[:4] for r in few] and [r[4] for r in few] == pytest.approx([r[4] for r in whole], rel=1e-5)
 
 
 def test_mixing(spark, docs, empty):
