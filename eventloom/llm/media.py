@@ -79,13 +79,12 @@ def _jpeg(d: memoryview, at: int) -> int | None:
         i += 2 + size
         if kind == 0xDA:  # entropy-coded bytes run to the next marker that is not a stuffed or restart one
             seen = True
-            rest = bytes(d[i:])
-            j = rest.find(b"\xff")
-            while j >= 0 and j + 1 < len(rest) and (rest[j + 1] == 0 or 0xD0 <= rest[j + 1] <= 0xD7):
-                j = rest.find(b"\xff", j + 2)
-            if j < 0 or j + 1 >= len(rest):
+            j = d.obj.find(b"\xff", i)
+            while j >= 0 and j + 1 < len(d) and (d[j + 1] == 0 or 0xD0 <= d[j + 1] <= 0xD7):
+                j = d.obj.find(b"\xff", j + 2)
+            if j < 0 or j + 1 >= len(d):
                 return None
-            i += j
+            i = j
             if d[i + 1] == 0xD9:
                 return i + 2 - at
     return None
@@ -126,9 +125,19 @@ def _bmp(d: memoryview, at: int) -> int | None:
 def _pdf(d: memoryview, at: int) -> int | None:
     if not bytes(d[at + 5 : at + 8]).replace(b".", b"").isdigit():
         return None
-    rest = bytes(d[at:])
-    end = rest.find(b"%%EOF")
-    return end + 5 if end > 0 and rest.find(b"startxref", 0, end) > 0 else None
+    whole, low = d.obj, at + 8
+    high = whole.find(b"%PDF-", low)
+    high = len(whole) if high < 0 else high
+    end = whole.rfind(b"%%EOF", low, high)
+    while end >= 0:  # the last end of file whose reference table is there: saved changes come after earlier ends
+        said = whole.rfind(b"startxref", low, end)
+        number = whole[said + 9 : end].strip() if said >= 0 else b""
+        if number.isdigit():
+            table_at = at + int(number)
+            if whole.startswith(b"xref", table_at) or whole[table_at : table_at + 20].split(b" ")[0].isdigit():
+                return end + 5 - at
+        end = whole.rfind(b"%%EOF", low, end)
+    return None
 
 
 def _gzip(d: memoryview, at: int) -> int | None:
@@ -145,14 +154,20 @@ def _gzip(d: memoryview, at: int) -> int | None:
     return min(i, len(d)) - len(one.unused_data) - at if one.eof else None
 
 
-def _zip(d: memoryview, at: int) -> int | None:
-    rest = bytes(d[at:])
-    end = rest.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(rest):
-        return None
-    count, size, start, note = struct.unpack_from("<HIIH", rest, end + 10)
-    whole = end + 22 + note
-    return whole if count and start + size == end and rest[start : start + 4] == b"PK\x01\x02" and whole <= len(rest) else None
+def _zip_ends(whole: bytes) -> dict[int, int]:
+    """End of the archive that each end-of-directory record says to begin somewhere, by that place; of several the last."""
+    ends, at = {}, whole.find(b"PK\x05\x06")
+    while at >= 0 and at + 22 <= len(whole):
+        count, size, start, note = struct.unpack_from("<HIIH", whole, at + 10)
+        if count and whole.startswith(b"PK\x01\x02", at - size) and at + 22 + note <= len(whole):
+            ends[at - size - start] = at + 22 + note
+        at = whole.find(b"PK\x05\x06", at + 4)
+    return ends
+
+
+def _zip(d: memoryview, at: int, ends: dict[int, int] | None = None) -> int | None:
+    end = (_zip_ends(d.obj) if ends is None else ends).get(at)
+    return None if end is None else end - at
 
 
 #: Magic numbers, their types and validators.
@@ -183,13 +198,17 @@ class Sniffer:
             self.by_magic.setdefault(b"RIFF" if magic == b"RIFF\0" else magic, []).append(what)
 
     def __call__(self, data: bytes) -> list[tuple[int, int, str]]:
-        view, found, covered = memoryview(data), [], 0
+        view, found, covered, zips = memoryview(data), [], 0, None
         hits = sorted((end - len(magic) + 1, magic) for end, magic in self.search.iter(data.decode("latin-1")))
         for at, magic in hits:
             if at < covered:
                 continue
             for kind, measure in self.by_magic[magic]:
-                size = measure(view, at)
+                if measure is _zip:
+                    zips = _zip_ends(data) if zips is None else zips
+                    size = _zip(view, at, zips)
+                else:
+                    size = measure(view, at)
                 if size:
                     found.append((at, size, kind))
                     covered = at + size
@@ -202,7 +221,7 @@ def sniff(df: DataFrame, column: str = "media", declared: str | None = None, kee
 
     media_type is the validated type of what starts at byte 0, else the declared one, else
     application/octet-stream; embedded lists valid media that start later (or after an unknown start). Null
-    bytes have neither. Formats: png, gif, jpeg, wav, webp, bmp, pdf, gzip, zip.
+    bytes have neither. Columns of ``df`` that are called media_type or embedded are replaced. Formats: png, gif, jpeg, wav, webp, bmp, pdf, gzip, zip.
     """
     keep = keep if keep is not None else [c for c in df.columns if c not in (column, declared)]
     fields = [f for f in df.schema.fields if f.name in keep and f.name not in ("media_type", "embedded")]
