@@ -24,7 +24,7 @@ PAIRS = 18  # bits of a pair's place in the table of order 2
 _UNIT = np.uint64(38)  # bits of the mixture's mass
 _WHOLE = 1 << 38
 _ADD = 32  # order 0: what a sighting adds to an id's initial 1
-_BUCKETS = 16  # bits of the index into order 0
+_BUCKETS = 15  # bits of the index into order 0
 _CONF, _MOST = 3, 7  # successors are id << _CONF | confidence, which is 0 only where there is none
 _STATES = 8 * 8 * 8 * 3
 _TOP, _16, _48 = np.uint64(1 << 47), np.uint64(16), np.uint64(48)
@@ -53,15 +53,30 @@ class _Model:
         before = np.concatenate(([0], np.cumsum(freq)))
         self.total, self.before = int(before[-1]), before
         self.spans = before << 32 | np.append(freq, 0)  # where an id begins, and its frequency
-        self.shift = max(0, self.total.bit_length() - _BUCKETS)
-        starts = before[:-1] + (1 << self.shift) - 1 >> self.shift
-        self.index = np.cumsum(np.bincount(starts, minlength=(self.total >> self.shift) + 2)) - 1
+        self.index = None
         share = self.right / (self.right[:, 0] + self.right[:, 1] + self.right[:, 2] + self.right[:, 3])[:, None]
         sizes = (share[:, :3] * float(_WHOLE - (_WHOLE >> 9))).astype(np.int64)
         ends = np.cumsum(sizes, axis=1)
         self.starts = np.concatenate((np.zeros((_STATES, 1), np.int64), ends), axis=1)
         self.sizes = np.concatenate((sizes, _WHOLE - ends[:, 2:]), axis=1)
 
+    def found(self, into: np.ndarray) -> np.ndarray:
+        """The id whose part of order 0 holds each value."""
+        if self.index is None:
+            self.shift = max(0, self.total.bit_length() - _BUCKETS)
+            starts = self.before[:-1] + (1 << self.shift) - 1 >> self.shift
+            self.index = np.cumsum(np.bincount(starts, minlength=(self.total >> self.shift) + 2)) - 1
+        into = np.minimum(into, self.total - 1)  # only where bytes were damaged
+        some = self.index.take(into >> self.shift)
+        for _ in range(3):
+            later = self.before.take(some + 1) <= into
+            if not later.any():
+                return some
+            some += later
+        left = np.flatnonzero(self.before.take(some + 1) <= into)
+        some[left] = np.searchsorted(self.before, into.take(left), side="right") - 1
+        return some
+
     def predict(self, n: int) -> None:
         """Successors of the first n lanes' contexts and their joint state."""
         if self.step < 12 or not self.step & 15:
@@ -242,7 +257,7 @@ def _decode(data: bytes, count: int, vocabulary: int) -> np.ndarray:
         for span in (a, b, c):
             passed += (span & low) * (into + passed >= span >> 32)
         into += passed
-        some = _found(model, into)
+        some = model.found(into)
         span = model.spans.take(some)
         start[at] += ((span >> 32) - passed) * scale
         size[at] = (span & low) * scale
@@ -253,20 +268,6 @@ def _decode(data: bytes, count: int, vocabulary: int) -> np.ndarray:
     return wide.T.reshape(-1)[:count]
 
 
-def _found(model: _Model, into: np.ndarray) -> np.ndarray:
-    """The id whose part of order 0 holds each value."""
-    into = np.minimum(into, model.total - 1)  # only where bytes were damaged
-    some = model.index.take(into >> model.shift)
-    for _ in range(3):
-        later = model.before.take(some + 1) <= into
-        if not later.any():
-            return some
-        some += later
-    left = np.flatnonzero(model.before.take(some + 1) <= into)
-    some[left] = np.searchsorted(model.before, into.take(left), side="right") - 1
-    return some
-
-
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[tuple[int, int, bytes]]:
     """(ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block."""
     raw = np.ascontiguousarray(ids, "<u4")

@@ -24,9 +24,9 @@ from .tokens import encoder, tokenizer_path
 
 MAGIC = b"CMIX1\0\0\0"
 #: Ids a file at most holds at about; bounds what a task keeps in memory.
-FILE_IDS = 4_000_000
-#: Bytes of text a range partition is meant to have.
-PART_BYTES = 24_000_000
+FILE_IDS = 1 << 23
+#: Bytes of text a range partition is meant to have: about one file.
+PART_BYTES = 22_000_000
 
 
 def file_bytes(doc_ids: list[int], documents: list[bytes], vocabulary: int) -> Iterator[bytes]:

@@ -59,6 +59,10 @@ class _Table:
         self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths, dtype=np.int64) - lengths))
         self.hashes, self.lengths, self.pool = np.concatenate((self.hashes, hashes)), np.concatenate((self.lengths, lengths)), np.concatenate((self.pool, ids))
         self.again = np.concatenate((self.again, np.zeros(len(hashes), bool)))
+        if 2 * len(self.hashes) > 1 << self.bits:  # one long text may bring more than is kept
+            self.bits = (2 * len(self.hashes)).bit_length()
+            self.slots, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            first, hashes = 0, self.hashes
         left, at = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(left):
             free = left[self.slots.take(at.take(left)) == 0]
@@ -73,6 +77,7 @@ class _Table:
             stay = np.flatnonzero(self.again)
             if len(stay) > self.keep // 2:
                 stay = stay[-self.keep // 2 :]
+            self.bits = (2 * self.keep).bit_length()
             self._clear(self.hashes[stay], self.lengths[stay], self.ids(stay))
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
@@ -194,7 +199,8 @@ class WordEncoder:
             if size >= self.RUN:
                 yield from self._coded(held)
                 held, size = [], 0
-        yield from self._coded(held)
+        if held:
+            yield from self._coded(held)
 
     def _coded(self, texts: list[bytes]) -> Iterator[bytes]:
         self.table.trim()
@@ -203,7 +209,7 @@ class WordEncoder:
         hashes = self.hashed(data, start, end)
         rows = self.table.find(hashes)
         new = np.flatnonzero(rows < 0)
-        self.table.again[rows[rows >= 0]] = True
+        self.table.again[rows if not len(new) else rows[rows >= 0]] = True
         if len(new):
             distinct, first = np.unique(hashes[new], return_index=True)
             first = new[first]

@@ -231,6 +231,24 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(docs, none).columns == docs.columns
 
 
+def test_quality_scores_equal_a_plain_computation(spark):
+    """Score by score: two dictionaries, the normalised size difference, a logistic curve; very long and clashing rows included."""
+    import zstandard
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    d = d.unionByName(spark.createDataFrame([(10**6, "many words " * 200_000), (10**6 + 1, None), (10**6 + 2, "")], d.schema)).withColumn("score", F.lit(7.0)).withColumn("text_", F.lit("x"))
+    model = quality.fit(d, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.score(d, model).collect()}
+    press = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False).compress for x in (model.good, model.bad)]
+    for r in d.collect():
+        data = (r.text or "").encode()
+        good, bad = (sum(len(f(data[a : a + 4096])) for a in range(0, len(data), 4096)) for f in press)
+        x = (bad - good) / (bad + good) if good + bad else 0.0
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(model.slope * x + model.bias, -30, 30))), abs=1e-9)
+    clash = quality.keep_good(d.withColumn("quality_score", F.lit("a")), model)
+    assert clash.columns == [*d.columns, "quality_score"] and {r.quality_score for r in clash.collect()} == {"a"} and {r.score for r in clash.collect()} == {7.0}
+
+
 def test_token_ids_equal_the_library(real):
     from tokenizers import Tokenizer
 
@@ -238,7 +256,13 @@ def test_token_ids_equal_the_library(real):
     texts = [x for _, x in EDGES] + ["a<|startoftext|>b", "é ́x", "'s's don't x\x1cy", "İ Σ"]
     texts += ["A.B. c'S. don't! é. é! ñ% 1.5%. ... a̸. ẞ. 'ſ! ². ab². 5́. ḰK!", "<|endoftext|>. <|ENDOFTEXT|>! a<|startoftext|>: WORD?!% ?A"] + [r.text for r in real.limit(50).collect()]
     texts += [r"J\u030c H\u0331 T\u0308 W\u030a Y\u030a aJ\u030c. J\u030c! J\u030cA A\u0300B THE %".encode().decode("unicode_escape"), "THE CAFÉS. Café!"]
+    encode = tokens.WordEncoder(tokens.tokenizer_path(), keep=50)
+    for run in (1, 300, encode.RUN):  # also where a run ends with the last text, and units leave and come back
+        encode.RUN = run
+        for got in (encode(texts), encode(iter(texts))):
+            assert [bytes(x) for x in got] == [np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
     got = tokens.encoder(tokens.tokenizer_path())(texts)
+    assert list(tokens.encoder(tokens.tokenizer_path())([])) == []
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
@@ -414,6 +438,26 @@ def test_mixing_removes_rare_domains(spark, marked, n, size):
     assert kept[False].n == pytest.approx(n - marked, rel=0.02)
 
 
+def test_rates_equal_least_squares(spark):
+    """Projected gradient reaches what a plain descent on the same weighted nonnegative least squares reaches; the fit tells what is left."""
+    rng = np.random.default_rng(2)
+    p, n = rng.dirichlet((0.4, 0.4, 0.4), 60), rng.integers(1, 200, 60)
+    members = spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (q, t) in enumerate(zip(p, n, strict=True))], "doc_id long, n_tokens long, p array<double>")
+    held = (p * n[:, None]).sum(0)
+    for shares in ((1.0, 1.0, 1.0), (0.5, 1.2, 1.3), (1.4, 0.9, 0.8), (0.0, 0.0, 1.0)):
+        targets = held * shares
+        rated, fit = mixing.fit_rates(members, list(targets), steps=200)
+        rates = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
+        plain = np.ones(60)
+        for _ in range(20_000):
+            plain = np.maximum(0, plain - 0.5 * p @ ((plain * n) @ p / held - targets / held))
+        loss = lambda r: ((((r * n) @ p - targets) ** 2) / held).sum()
+        assert (rates >= 0).all() and loss(rates) == pytest.approx(loss(plain), rel=1e-2, abs=1e-3 * held.sum())
+        assert fit.settled == (shares != (0.0, 0.0, 1.0)) and fit.expected == pytest.approx(list((rates * n) @ p))
+        if fit.settled:
+            assert fit.expected == pytest.approx(list(targets), rel=1e-2)
+
+
 def test_resampled_totals_meet_two_targets(spark):
     d, labels = told_apart(spark, 900, 3000, 40, (0, 0))
     out = mixing.resample(d, labels, {"clean": 0.64, "low": 0.36})
