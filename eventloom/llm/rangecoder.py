@@ -52,7 +52,8 @@ class _Model:
         freq = _ADD * self.counts + 1
         before = np.concatenate(([0], np.cumsum(freq)))
         self.total, self.before = int(before[-1]), before
-        self.spans = before << 32 | np.append(freq, 0)  # where an id begins, and its frequency
+        self.freq = np.append(freq, 0).astype(np.int32)
+        self.spans = before << 32 | self.freq  # where an id begins, and its frequency
         self.index = None
         share = self.right / (self.right[:, 0] + self.right[:, 1] + self.right[:, 2] + self.right[:, 3])[:, None]
         sizes = (share[:, :3] * float(_WHOLE - (_WHOLE >> 9))).astype(np.int64)
@@ -90,7 +91,6 @@ class _Model:
         same_a, same_b = self.ca == self.c2, self.cb == self.c2
         self.state = ((self.f2 * 8 + self.fa) * 8 + self.fb) * 3 + same_a + 2 * (same_b & ~same_a)
         self.places = [self.c2, np.where(same_a, self.none, self.ca), np.where(same_b, self.none, self.cb)]
-        self.gone = [self.spans.take(c) for c in self.places]  # what order 0 leaves out
 
     def learn(self, n: int, ids: np.ndarray, place: np.ndarray) -> None:
         """``place``: four times the state, plus which of the mixture's four parts coded each id."""
@@ -220,12 +220,9 @@ def _encode(ids: np.ndarray, vocabulary: int) -> bytes:
         start, size = model.starts.take(place), model.sizes.take(place)
         rest = part == 3
         span, low = model.spans.take(one), np.int64(0xFFFFFFFF)
-        before, left = span >> 32, np.full(n, model.total)
-        for c, gone in zip(model.places, model.gone, strict=True):
-            gone = gone & low
-            left -= gone
-            before -= gone * (c < one)
-        scale = (size / np.maximum(left, 1)).astype(np.int64)
+        g2, ga, gb = (model.freq.take(c) for c in model.places)  # what order 0 leaves out
+        before = (span >> 32) - (g2 * (c2 < one) + ga * (ca < one) + gb * (cb < one))
+        scale = (size / np.maximum(model.total - (g2 + ga + gb), 1)).astype(np.int64)
         start += before * scale * rest
         np.copyto(size, (span & low) * scale, where=rest)
         coder.put(n, start, size)
@@ -246,7 +243,7 @@ def _decode(data: bytes, count: int, vocabulary: int) -> np.ndarray:
         one = np.where(part == 0, model.c2, np.where(part == 1, model.ca, model.cb))
         at = np.flatnonzero(part == 3)
         rest = size.take(at)
-        a, b, c = (g.take(at) for g in model.gone)
+        a, b, c = (model.spans.take(p.take(at)) for p in model.places)
         scale = (rest / np.maximum(model.total - (a & low) - (b & low) - (c & low), 1)).astype(np.int64)
         into = ((value.take(at) - start.take(at)) / np.maximum(scale, 1)).astype(np.int64)
         # past the ids that order 0 leaves out, in their order

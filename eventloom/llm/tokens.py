@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -95,8 +96,8 @@ class WordEncoder:
     are put into lower case and a word is two units, what stands before its last signs and those. Texts with ``<``
     may hold an added token, and a letter may become another one with the mark after it: such texts keep their case,
     and a word with ``<`` is one unit. Numpy finds and hashes the units of many texts; those not met before are
-    encoded: small ASCII letters by the tokenizer's model, where probes show that its other steps leave them alone, others
-    in one text with an added token between them. Units are told apart by 64-bit hashes. A test compares with whole texts.
+    encoded: units of small Latin letters by the tokenizer's model, where probes show what its other steps make of each
+    letter, others in one text with an added token between them. Units are told apart by 64-bit hashes. A test compares with whole texts.
     """
 
     SIGNS = b".,!?;:%"
@@ -111,7 +112,11 @@ class WordEncoder:
         whole, stem, signs = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("Word" + self.SIGNS.decode(), "word", self.SIGNS.decode()))
         self.splits = whole == stem + signs
         probes = ["word", "a", "zyxwvutsrqponmlkjihgfedcba", *(x + y for x in "aeiou" for y in "nrst")]
-        self.direct = all(self.tokenizer.encode(p, add_special_tokens=False).ids == self.model_ids(p) for p in probes)
+        self.letters = {ord(c): self.forms(c) for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower()}
+        probes += [f"{a}{chr(c)}{b}" for c in self.letters for a, b in (("", ""), ("x", "y"), ("", "é"))]
+        # letters that stand as they are, each in one form, whatever is beside them: words of them need the model only
+        self.direct = all(self.forms(p) == p.translate(self.letters) and self.tokenizer.encode(p, add_special_tokens=False).ids == self.model_ids(p) for p in probes)
+        self.plain_unit = re.compile("[" + "".join(map(chr, self.letters)) + "]+").fullmatch
         self.between = next(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content.startswith("<")), None)
         self.space, self.sign, self.plain = _marks(_SPACES), _marks(self.SIGNS), _marks(_DIGITS_LETTERS)
         self.masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -158,8 +163,14 @@ class WordEncoder:
         out[out == 0] = 1  # 0 marks a free slot
         return out
 
+    def forms(self, text: str) -> str | None:
+        """What the model gets of a text; None where that is several pieces."""
+        normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if self.tokenizer.pre_tokenizer else [(normal, None)]
+        return pieces[0][0] if len(pieces) == 1 else None
+
     def model_ids(self, text: str) -> list[int]:
-        return [token.id for token in self.tokenizer.model.tokenize(text)]
+        return [token.id for token in self.tokenizer.model.tokenize(text.translate(self.letters))]
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(one.ids, np.uint32) for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -178,13 +189,14 @@ class WordEncoder:
         return out
 
     def learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
-        plain = [i for i, u in enumerate(units) if self.direct and u.isascii() and u.isalpha() and u.islower()]
+        text = [u.decode("utf-8", "replace") for u in units]
+        plain = [i for i, t in enumerate(text) if self.direct and self.plain_unit(t)]
         rest = set(range(len(units))).difference(plain)
         alone = [i for i in rest if b"<" in units[i]]
         other = sorted(rest.difference(alone))
-        texts = lambda which: [units[i].decode("utf-8", "replace") for i in which]
-        tokenize = self.tokenizer.model.tokenize
-        got = [[token.id for token in tokenize(t)] for t in texts(plain)]
+        texts = lambda which: [text[i] for i in which]
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        got = [[token.id for token in tokenize(t if t.isascii() else t.translate(letters))] for t in texts(plain)]
         more = self.encoded_together(texts(other)) + self.encoded(texts(alone))
         lengths = np.fromiter(map(len, got + more), np.int32, len(units))
         ids = np.concatenate([np.fromiter(chain.from_iterable(got), np.uint32), *more])
