@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, table
+from .shared import SPACE, fresh, table
 
 #: Domains told apart by the labelled table, with the label condition that marks each.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "true"}
@@ -33,6 +33,16 @@ class Mixture:
     ratios: dict[str, list[float]] = field(default_factory=dict)
 
 
+@dataclass
+class Fit:
+    """How the descent ended: expected tokens of each domain beside their targets, and whether all of them are met."""
+
+    expected: list[float]
+    targets: list[float]
+    settled: bool
+    gradients: list[list[float]]
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE + "+"), "")
 
@@ -42,7 +52,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | No
 
     A word is telling where the number of its documents in a domain lies over five standard deviations above, and by a
     factor over e above, what the domain's share of all documents makes likely; each domain names the ``vocabulary``
-    furthest ones, and every domain judges the words that any of them names, absent ones too: a document without
+    furthest ones (words of five documents or fewer cannot lie that far above, so they are not counted further). Every domain judges the words that any of them names, absent ones too: a document without
     them is as unlikely for a domain as the domain's documents have them often.
 
     An id with several labels counts with the first domain that any of them meets; rows with null labels and
@@ -106,20 +116,20 @@ def posteriors(docs: DataFrame, model: Mixture) -> DataFrame:
     return top.withColumn("z", whole).select("doc_id", "n_tokens", F.transform("l", lambda x: x / F.col("z")).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = 20, eta: float = 0.9) -> tuple[DataFrame, list[list[float]]]:
+def fit_rates(members: DataFrame, targets: list[float], steps: int = 40, eta: float = 0.9) -> tuple[DataFrame, Fit]:
     """``members`` (doc_id, n_tokens, p) plus rate: nonnegative rates whose expected domain tokens approach ``targets``.
 
-    Projected gradient on the squared distance between expected and target totals, from rate 1. The descent is
-    scaled per document by its length, which keeps the projection separable; the step is set from a bound of the
-    curvature. A step needs one aggregate of as many numbers as there are domains; the driver keeps those, and
-    each document's rate is replayed from them, so no iterate is stored and a lost executor costs nothing.
+    Least squares over nonnegative rates: the sum over domains of (expected - target)^2 / tokens held now, each domain
+    weighted by what it holds, by projected gradient from rate 1. The descent is scaled per document by its length, which
+    keeps the projection separable; the step is set from a bound of the curvature. A step needs one aggregate of as many
+    numbers as there are domains; the driver keeps those, and each document's rate is replayed from them, so no iterate is
+    stored and a lost executor costs nothing.
 
     Each domain is judged by itself, however rare: it is settled within 0.1 % of its target or, where that is 0, when
-    it keeps less than a 10^7th of its tokens. The descent ends when all are, or after ``steps``: documents of uncertain
-    domain can keep the targets apart.
+    it keeps less than a 10^7th of its tokens. The descent ends when all are, or after ``steps``; the fit says which, and
+    what is left: documents of uncertain domain can keep the targets apart.
     """
     k = len(targets)
-    total = members.agg(*[F.sum(F.col("p")[i] * F.col("n_tokens")).alias(f"t{i}") for i in range(k)]).first()
     gradients: list[list[float]] = []
 
     def rate() -> Column:
@@ -129,18 +139,21 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 20, eta: fl
         dot = lambda g: sum((F.col("p")[i] * g[i] for i in range(1, k)), F.col("p")[0] * g[0])
         return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
+    def expected() -> list[float]:
+        got = members.select("p", (F.col("n_tokens") * rate()).alias("x")).agg(*[F.sum(F.col("p")[i] * F.col("x")).alias(f"e{i}") for i in range(k)]).first()
+        return [float(x or 0.0) for x in got]
+
     # curvature of each direction is at most the tokens that it holds
-    held = [float(total[i] or 0.0) for i in range(k)]
+    held = now = expected()
     near = [1e-3 * targets[i] if targets[i] > 0 else 1e-7 * held[i] for i in range(k)]
-    for _ in range(steps):
-        r = rate()
-        now = members.select(F.col("p"), (F.col("n_tokens") * r).alias("x")).agg(*[F.sum(F.col("p")[i] * F.col("x")).alias(f"e{i}") for i in range(k)]).first()
-        off = [float(now[i] or 0.0) - targets[i] for i in range(k)]
-        # a domain without any tokens cannot be moved
-        if all(abs(off[i]) <= near[i] for i in range(k) if held[i] > 0):
+    # a domain without any tokens cannot be moved
+    met = lambda: all(abs(now[i] - targets[i]) <= near[i] for i in range(k) if held[i] > 0)
+    while not met() and len(gradients) < steps:
+        gradients.append([eta * (now[i] - targets[i]) / held[i] if held[i] > 0 else 0.0 for i in range(k)])
+        now = expected()
+        if len(gradients) > 5 and all(abs(x) < 1e-9 for x in gradients[-1]):
             break
-        gradients.append([eta * off[i] / held[i] if held[i] > 0 else 0.0 for i in range(k)])
-    return members.withColumn("rate", rate()), gradients
+    return members.withColumn("rate", rate()), Fit(now, targets, met(), gradients)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domains: dict[str, str] | None = None, band: float = 0.0) -> DataFrame:
@@ -167,7 +180,8 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, band: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, each as often as ``copies`` says, with all their columns."""
-    rates = mixed(docs, labels, weights, band=band).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id")
-    taken = docs.join(rates, docs["doc_id"] == rates["_mixed_id"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs``, each as often as ``copies`` says, with all their columns; rows with a null doc_id are left out."""
+    name, times, copy = fresh(docs, "mixed_id"), fresh(docs, "copies"), fresh(docs, "copy")
+    rates = mixed(docs, labels, weights, band=band).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(times)).withColumnRenamed("doc_id", name)
+    taken = docs.join(rates, docs["doc_id"] == rates[name])
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
