@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import join_once, table
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """(u, v) plus m, the least of u and its partners v. The minimum is taken before the join, so hubs pre-aggregate."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(least, edges["u"] == least["w"]).drop("w")
+    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_once(edges, least, "u", total=total).drop("n")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -23,17 +23,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = table(now, "edges")
-    mark = None
+    mark, total = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large)
+        large = _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, total)
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = table(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == mark:
             break
-        mark = tuple(got)
+        mark, total = tuple(got), got[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

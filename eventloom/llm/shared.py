@@ -63,16 +63,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_once(rows: DataFrame, once: DataFrame, key: str, n: str = "n", share: int = 1000) -> DataFrame:
-    """Inner join with a written table that has each key once, with the number ``n`` of rows that have it.
+def join_once(rows: DataFrame, once: DataFrame, key: str, n: str = "n", total: int | None = None, share: int = 1000) -> DataFrame:
+    """Inner join with a table that has each key once, with the number ``n`` of rows that have it (``total``: of all keys).
 
     Keys of at least a ``share``-th of all counted rows are at most ``share``: they are broadcast, so their rows stay where they
     are, and no key of the shuffled rest has more than a ``share``-th.
     """
-    least = (once.agg(F.sum(n)).first()[0] or 0) / share
-    hot = F.broadcast(once.where(F.col(n) >= least))
-    rest = rows.join(F.broadcast(once.where(F.col(n) >= least).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(once.where(F.col(n) < least), key))
+    least = max(2, (once.agg(F.sum(n)).first()[0] or 0) if total is None else total) / share
+    hot = once.where(F.col(n) >= least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(once.where(F.col(n) < least), key))
 
 
 def file_system(uri: str):
