@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, new_dir, table
+from .shared import SPACE, fresh, join_once, new_dir, table
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The session's settings while the stream starts: state on disk, without preallocated files for each of many small stores.
@@ -76,10 +76,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    state = _last_state(spark, updates)
+    state = table(_last_state(spark, updates), "digest-last")
 
     listed = spark.read.schema(schema).parquet(path)
-    joined = listed.join(state, "digest")
+    joined = join_once(listed, state, "digest", "copies")
     off = table(_unequal(rows, joined, norm, digest).distinct(), "unequal")
     # A digest that stands for several texts is resolved by the texts themselves; others keep the state's answer.
     plain = joined.join(off, "digest", "left_anti").select("doc_id", F.col("keep").alias("keep_id"), F.col("copies").alias("group_size"), "text_sha256", "n_chars")
@@ -130,6 +130,9 @@ def _unequal(rows: DataFrame, joined: DataFrame, norm: Column, digest: Callable[
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id with equal text, one stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
-    return stay.withColumn("_norm_key", F.xxhash64(normalised(F.col("text")))).dropDuplicates(["doc_id", "_norm_key"]).drop("_norm_key")
+    name, key = fresh(docs, "kept_id"), fresh(docs, "norm_key")
+    groups = exact_groups(docs)
+    kept = groups.where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(key)).distinct()
+    keyed = docs.withColumn(key, sha256(normalised(F.col("text").cast("string"))))
+    stay = keyed.join(kept.withColumnRenamed(key, key + "_"), (keyed["doc_id"] == kept[name]) & (F.col(key) == F.col(key + "_")), "left_semi")
+    return stay.dropDuplicates(["doc_id", key]).drop(key)
