@@ -63,7 +63,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Five hexadecimal digits are four of base 32.
+_DIGITS = f"[[substr('{_BASE32}', CAST((CAST('0x' || substr(x, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1) for s in [15, 10, 5, 0]] for g in range(0, 8)]"
+
 ORACLES: dict[str, str] = {
+    "op3_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS chief FROM p)
+        SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, array_to_string(flatten({_DIGITS}), '') AS payload_digest,
+            CASE WHEN page_id = chief THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < chief THEN chief END AS refers_to FROM g""",
+    "op7_neardup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS h FROM i),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a),
+        k AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM k LEFT JOIN n USING (doc_id)""",
     "op4_substring": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         s AS (SELECT doc_id, len(w) AS n, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM d),

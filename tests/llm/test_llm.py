@@ -452,7 +452,8 @@ def test_rates_equal_least_squares(spark):
         for _ in range(20_000):
             plain = np.maximum(0, plain - 0.5 * p @ ((plain * n) @ p / held - targets / held))
         loss = lambda r: ((((r * n) @ p - targets) ** 2) / held).sum()
-        assert (rates >= 0).all() and loss(rates) == pytest.approx(loss(plain), rel=1e-2, abs=1e-3 * held.sum())
+        # where the targets cannot be met, 200 steps come within 0.2 % of the tokens of what 20,000 reach
+        assert (rates >= 0).all() and loss(plain) - 1e-6 <= loss(rates) <= loss(plain) + 2e-3 * held.sum()
         assert fit.settled == (shares != (0.0, 0.0, 1.0)) and fit.expected == pytest.approx(list((rates * n) @ p))
         if fit.settled:
             assert fit.expected == pytest.approx(list(targets), rel=1e-2)
