@@ -104,7 +104,7 @@ class EventQuery:
         return replace(self, time=replace(self.time, maxs=(time_ns,)))
 
     def predicate(self) -> Column:
-        """Null names count as empty and null versions as 0. Time bounds are also put on the microsecond column, which scans push down."""
+        """Null names count as empty and null versions as 0. Bounds of time are also put on the microsecond column, which scans push down."""
         name, version = F.coalesce("aggregate_name", F.lit("")), F.coalesce("aggregate_version", F.lit(0))
         parts: list[Column] = []
         for column, values in ((F.col("name"), self.names), (F.col("id"), self.ids), (F.col("aggregate_name"), self.aggregate_names), (F.col("aggregate_id"), self.aggregate_ids)):
@@ -113,11 +113,16 @@ class EventQuery:
         if self.refs:
             parts.append(any_of([(name == r.name) & (F.lit(True) if r.id is None else F.col("aggregate_id").eqNullSafe(r.id)) for r in self.refs]))
         parts += self.version.compile(version) + self.time.compile(F.col("time_ns"))
-        if self.time.mins:
-            parts.append(F.col("ts") >= F.timestamp_micros(F.lit(min(self.time.mins) // 1000)).cast("timestamp_ntz"))
-        if self.time.maxs:
-            parts.append(F.col("ts") <= F.timestamp_micros(F.lit(-(-max(self.time.maxs) // 1000))).cast("timestamp_ntz"))
-        return all_of(parts)
+        return all_of(parts + self._micros())
+
+    def _micros(self) -> list[Column]:
+        """The bounds of time on the microsecond column, rounded outwards."""
+        at = lambda us: F.timestamp_micros(F.lit(us)).cast("timestamp_ntz")
+        down, up, ts = lambda ns: at(ns // 1000), lambda ns: at(-(-ns // 1000)), F.col("ts")
+        parts = [ts.between(down(min(self.time.exact)), up(max(self.time.exact)))] if self.time.exact else []
+        parts += [any_of([ts.between(down(a), up(b)) for a, b in self.time.ranges])] if self.time.ranges else []
+        parts += [ts >= down(min(self.time.mins))] if self.time.mins else []
+        return parts + ([ts <= up(max(self.time.maxs))] if self.time.maxs else [])
 
     def order(self) -> list[Column]:
         """Sort keys, each column once, with the id last so that the order is total."""
@@ -164,6 +169,17 @@ class EntityQuery:
         tops = (*self.version.exact, *(b for _, b in self.version.ranges), *self.version.maxs)
         return EventQuery(aggregate_names=self.names, aggregate_ids=self.ids, version=Bounds(maxs=tops), sort=BY_AGGREGATE)
 
+    def merge(self, *others: EntityQuery) -> EntityQuery:
+        """The query that accepts the union of every field's values."""
+        out = self
+        for q in others:
+            out = EntityQuery(unique((*out.names, *q.names)), unique((*out.ids, *q.ids)), out.version.merged(q.version), unique((*out.tags, *q.tags)))
+        return out
+
+    def expand(self, *, names: tuple[str, ...] = (), ids: tuple[str, ...] = (), tags: tuple[str, ...] = (), **bounds: tuple) -> EntityQuery:
+        """This query with more values in its fields; ``bounds`` are those of the version."""
+        return self.merge(EntityQuery(names, ids, Bounds(**bounds), tags))
+
     def accepts(self, states: DataFrame) -> DataFrame:
         """Folded states (aggregate_name, aggregate_id, version, and tags if asked for) that meet the query exactly."""
         parts = [F.col(c).isin(*v) for c, v in (("aggregate_name", self.names), ("aggregate_id", self.ids)) if v] + self.version.compile(F.col("version"))
@@ -172,6 +188,24 @@ class EntityQuery:
         return states.where(all_of(parts))
 
 
+@dataclass(frozen=True)
+class SnapshotQuery:
+    """Snapshots (aggregate_name, aggregate_id, aggregate_version, time_ns, state) of entities, by version and time."""
+
+    entities: EntityQuery = field(default_factory=EntityQuery)
+    time: Bounds = field(default_factory=Bounds)
+
+    def apply(self, snapshots: DataFrame) -> DataFrame:
+        q = self.entities
+        parts = [F.col(c).isin(*v) for c, v in (("aggregate_name", q.names), ("aggregate_id", q.ids)) if v]
+        return snapshots.where(all_of(parts + q.version.compile(F.col("aggregate_version")) + self.time.compile(F.col("time_ns"))))
+
+
+def commands(rows: DataFrame, *filters: Column) -> DataFrame:
+    """Commands that every filter accepts; a filter that says nothing (null) rejects."""
+    return rows.where(all_of([F.coalesce(f, F.lit(False)) for f in filters]))
+
+
 def cursor_text(time_ns: int, id: str) -> str:
     return base64.urlsafe_b64encode(json.dumps([time_ns, id]).encode()).decode().rstrip("=")
 

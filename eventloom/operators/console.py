@@ -28,18 +28,21 @@ def catalog(events: DataFrame) -> DataFrame:
     return events.where("aggregate_version = 1 and aggregate_id is not null").groupBy("aggregate_name", "aggregate_id").agg(F.min("time_ns").alias("created_ns"))
 
 
-def catalog_page(events: DataFrame, size: int | None = None, before: tuple[int, str] | None = None, name: str | None = None) -> DataFrame:
-    """Newest entities first; one row beyond the page tells that more follow."""
+def catalog_page(events: DataFrame, size: int | None = None, before: tuple | None = None, name: str | None = None) -> DataFrame:
+    """Newest entities first, below a cursor of time, id and (where several names are shown) name; one row beyond the page tells that more follow."""
     rows = catalog(events)
     if name:
         rows = rows.where(F.col("aggregate_name") == name)
     if before:
-        rows = rows.where((F.col("created_ns") < before[0]) | ((F.col("created_ns") == before[0]) & (F.col("aggregate_id") < before[1])))
-    return rows.orderBy(F.desc("created_ns"), F.desc("aggregate_id")).limit(page_size(size) + 1)
+        created, id, of = (*before, "")[:3]
+        rows = rows.where(F.struct("created_ns", "aggregate_id", "aggregate_name") < F.struct(F.lit(created).cast("bigint"), F.lit(id), F.lit(of)))
+    return rows.orderBy(F.desc("created_ns"), F.desc("aggregate_id"), F.desc("aggregate_name")).limit(page_size(size) + 1)
 
 
 def event_page(events: DataFrame, size: int | None = None, before: tuple[int, str] | None = None) -> DataFrame:
     """Newest events first, without payload, below a cursor of time and id, plus one row."""
+    if before and "ts" in events.columns:  # the bound in microseconds reaches the scan
+        events = events.where(F.col("ts").isNull() | (F.col("ts") <= F.timestamp_micros(F.lit(-(-before[0] // 1000))).cast("timestamp_ntz")))
     rows = events.select("id", "name", "time_ns", "aggregate_name", "aggregate_id", "aggregate_version")
     if before:
         rows = rows.where((F.col("time_ns") < before[0]) | ((F.col("time_ns") == before[0]) & (F.col("id") < before[1])))

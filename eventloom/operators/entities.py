@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +18,13 @@ def fold(events: DataFrame, **states: Column) -> DataFrame:
     return events.where("aggregate_id is not null").groupBy(*ENTITY).agg(F.max("aggregate_version").alias("version"), F.count(F.lit(1)).alias("n_events"), *[c.alias(n) for n, c in states.items()])
 
 
-def fold_expression(events: DataFrame, zero: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """Fold by an expression over the state and the next event, in version order."""
-    item = F.struct("aggregate_version", "time_ns", "id", "name", "data")
+def fold_expression(events: DataFrame, zero: Column, step: Callable[[Column, Column], Column], columns: tuple[str, ...] = ("name", "data")) -> DataFrame:
+    """Fold by an expression over the state and the next event, in version order.
+
+    ``columns`` are what the expression reads besides version, time and id. One task holds those of one entity: for
+    entities too long for that, fold by aggregates, or from snapshots.
+    """
+    item = F.struct("aggregate_version", "time_ns", "id", *columns)
     held = events.where("aggregate_id is not null").groupBy(*ENTITY).agg(F.sort_array(F.collect_list(item)).alias("e"))
     return held.select(*ENTITY, F.element_at("e", -1)["aggregate_version"].alias("version"), F.aggregate("e", zero, step).alias("state"))
 
@@ -49,13 +53,29 @@ def reached(states: DataFrame, version: int) -> DataFrame:
     return states.where(F.col("version") == max(0, version))
 
 
-def entities(events: DataFrame, query: EntityQuery, strict: bool = False, with_deleted: bool = False) -> DataFrame:
+def without(events: DataFrame, gone: DataFrame) -> DataFrame:
+    """Events of entities that are not in ``gone``; null names and ids are equal to each other."""
+    other = gone.select(*[F.col(c).alias(f"_{c}") for c in ENTITY])
+    same = [events[c].eqNullSafe(other[f"_{c}"]) for c in ENTITY]
+    return events.join(other, same[0] & same[1], "left_anti")
+
+
+def split_consistent(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events of consistent entities, all others with the kind and place of their entity's first violation)."""
+    bad = violations(events)
+    other = bad.select(*[F.col(c).alias(f"_{c}") for c in ENTITY], "kind", "index")
+    same = events["aggregate_name"].eqNullSafe(other["_aggregate_name"]) & events["aggregate_id"].eqNullSafe(other["_aggregate_id"])
+    return without(events, bad), events.join(other, same).drop("_aggregate_name", "_aggregate_id")
+
+
+def entities(events: DataFrame, query: EntityQuery, strict: bool = False, with_deleted: bool = False, consistent: bool = True) -> DataFrame:
     """Events of the entities of a query, of consistent ones, without those softly deleted.
 
     An exact version v means entities up to v; with ``strict`` only such whose prefix meets the query.
     """
     read = events.where(query.events().predicate())
-    read = read.join(violations(read).select(*ENTITY), ENTITY, "left_anti")
+    if consistent:
+        read = without(read, violations(read))
     if not with_deleted:
         read = read.join(deleted(read), ENTITY, "left_anti")
     if strict:
@@ -69,6 +89,28 @@ def numbered(events: DataFrame) -> DataFrame:
     return events.withColumn("aggregate_version", F.row_number().over(order))
 
 
+def previous_version(events: DataFrame) -> DataFrame:
+    """Events with aggregate_version one above that of the event before them in time, where that one has an entity."""
+    before = Window.partitionBy(*ENTITY).orderBy("time_ns", "id")
+    return events.withColumn("aggregate_version", F.when(F.col("aggregate_id").isNotNull(), F.coalesce(F.lag("aggregate_version").over(before), F.lit(0)) + 1).otherwise(F.col("aggregate_version")))
+
+
+def generated(spark, entities: int, events: int, skip: int = 0, name: str = "entity", names: tuple[str, ...] = ("foo", "bar", "baz")) -> DataFrame:
+    """``events`` events of each of ``entities`` entities; every ``skip``-th version is left free."""
+    i, n = F.col("id") % events, F.floor(F.col("id") / events)
+    version = i + 1 + (F.floor(i / (skip - 1)) if skip > 1 else 0)
+    time = F.lit(1_700_000_000_000_000_000) + F.col("id") * 1000
+    return spark.range(entities * events).select(
+        F.format_string("%012d", "id").alias("id"), F.array(*map(F.lit, names))[(F.col("id") % len(names)).cast("int")].alias("name"), time.alias("time_ns"), F.timestamp_micros(F.floor(time / 1000).cast("long")).cast("timestamp_ntz").alias("ts"),
+        F.lit(name).alias("aggregate_name"), n.cast("string").alias("aggregate_id"), version.cast("int").alias("aggregate_version"), F.to_json(F.struct(i.alias("A"))).alias("data"),
+    )
+
+
+def shuffled(events: DataFrame, seed: int) -> DataFrame:
+    """Events in an order that the seed alone decides, however they are dealt."""
+    return events.orderBy(F.xxhash64("id", F.lit(seed)), "id")
+
+
 def next_versions(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes numbered after their entity's current version."""
     top = current.groupBy(*ENTITY).agg(F.max("aggregate_version").alias("_top"))
@@ -159,11 +201,3 @@ def union(*streams: DataFrame) -> DataFrame:
     for s in streams[1:]:
         out = out.unionByName(s)
     return out
-
-
-def take(rows: DataFrame, n: int) -> DataFrame:
-    return rows.limit(max(0, n))
-
-
-def map_batches(rows: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    return rows.mapInPandas(f, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["subject", "ref_name", "ref_id", "action"]
@@ -21,6 +21,33 @@ def counted(changes: DataFrame) -> DataFrame:
     return out.where("n > 0")
 
 
+_GRANT = "aggregate struct<name:string,id:string>, actions array<string>"
+
+
+def grant_changes(events: DataFrame, granted: str = "permission.granted", revoked: str = "permission.revoked") -> DataFrame:
+    """Changes that permission events of actors and roles (their entity is the subject) bring, one an action."""
+    rows = events.where(F.col("name").isin(granted, revoked)).withColumn("_p", F.from_json("data", _GRANT))
+    return rows.select(F.col("aggregate_id").alias("subject"), F.col("_p.aggregate.name").alias("ref_name"), F.col("_p.aggregate.id").alias("ref_id"), F.explode("_p.actions").alias("action"), F.when(F.col("name") == granted, 1).otherwise(-1).alias("delta"), F.col("aggregate_version").alias("position"))
+
+
+def member_changes(events: DataFrame, given: str = "role.given", removed: str = "role.removed") -> DataFrame:
+    """(role, member, op, position) of events whose data lists actors."""
+    rows = events.where(F.col("name").isin(given, removed))
+    return rows.select(F.col("aggregate_id").alias("role"), F.explode(F.from_json("data", "array<string>")).alias("member"), F.when(F.col("name") == given, "give").otherwise("remove").alias("op"), F.col("aggregate_version").alias("position"))
+
+
+def granted_by(events: DataFrame, rules: dict[str, list[tuple[Column, Column, str]]], granted: str = "permission.granted") -> DataFrame:
+    """Changes that a granter makes of events by their name: for each rule (subject, id of the entity, action) one on the event's own kind of entity."""
+    out = None
+    for name, given in rules.items():
+        for subject, id, action in given:
+            rows = events.where(F.col("name") == name).select(subject.alias("subject"), F.col("aggregate_name").alias("ref_name"), id.alias("ref_id"), F.lit(action).alias("action"), F.lit(1).alias("delta"), F.col("time_ns").alias("position"))
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("a granter needs rules")
+    return out.where("subject is not null")
+
+
 def members(changes: DataFrame) -> DataFrame:
     """(role, member) of (role, member, op, position): the last of give and remove counts."""
     return changes.groupBy("role", "member").agg(F.max_by("op", "position").alias("op")).where("op = 'give'").select("role", "member")

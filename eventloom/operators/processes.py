@@ -35,17 +35,20 @@ def correlated(events: DataFrame, by: str | Column = "aggregate_id", namespace=N
 def workflow_states(events: DataFrame) -> DataFrame:
     """One row a workflow of (workflow_id, kind, ref, position): phase, distinct triggers, open commands.
 
-    kind is started, trigger, command, dispatched, or a phase of TRANSITIONS; the first end of a phase counts.
+    kind is started, trigger, command, dispatched, or a phase of TRANSITIONS; the first end of a phase counts. Rows
+    combine by (workflow, ref) first, so no workflow's references are gathered anywhere.
     """
+    kinds = ("started", *TRANSITIONS["running"], *TRANSITIONS["compensating"])
     at = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("position")))
-    refs = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("ref")))
-    got = events.groupBy("workflow_id").agg(*[at(k).alias(k) for k in ("started", *TRANSITIONS["running"], *TRANSITIONS["compensating"])], refs("trigger").alias("_t"), refs("command").alias("_c"), refs("dispatched").alias("_d"))
+    has = lambda kind: F.max(F.when((F.col("kind") == kind) & F.col("ref").isNotNull(), 1).otherwise(0))
+    each = events.groupBy("workflow_id", "ref").agg(*[at(k).alias(k) for k in kinds], has("trigger").alias("_t"), has("command").alias("_c"), has("dispatched").alias("_d"))
+    got = each.groupBy("workflow_id").agg(*[F.min(k).alias(k) for k in kinds], F.sum("_t").cast("int").alias("_t"), F.sum(F.when(F.col("_d") == 0, F.col("_c")).otherwise(0)).cast("int").alias("_c"))
     first = F.least(*[F.col(k) for k in TRANSITIONS["running"]])
     end = F.least(*[F.col(k) for k in TRANSITIONS["compensating"]])
     phase = F.when(F.col("started").isNull(), "unknown").when(first.isNull(), "running")
     phase = phase.when(first == F.col("completed"), "completed").when(first == F.col("failed"), "failed")
     phase = phase.when(end.isNull(), "compensating").when(end == F.col("compensated"), "compensated").otherwise("compensation_failed")
-    return got.select("workflow_id", phase.alias("phase"), F.size("_t").alias("triggers"), F.size(F.array_except("_c", "_d")).alias("pending"))
+    return got.select("workflow_id", phase.alias("phase"), F.col("_t").alias("triggers"), F.col("_c").alias("pending"))
 
 
 def command_lifecycle(events: DataFrame) -> DataFrame:
@@ -87,6 +90,24 @@ class Saga:
         return rows
 
 
+def saga_rows(actions: DataFrame, compensators: DataFrame) -> DataFrame:
+    """What happens in sagas of (saga_id, position, action, ok): actions run in order until one fails; then what succeeded is compensated.
+
+    ``compensators`` (action, compensator, ok) tells which actions have one and whether it succeeds; compensation runs backwards
+    and ends with the first that fails. Gives (saga_id, step, action, kind, status).
+    """
+    order = Window.partitionBy("saga_id").orderBy("position")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    ran = actions.withColumn("_bad", F.coalesce(F.max((~F.col("ok")).cast("int")).over(so_far), F.lit(0))).where("_bad = 0")
+    end = ran.groupBy("saga_id").agg(F.max("position").alias("_end"), F.min("ok").alias("_all"))
+    forward = ran.select("saga_id", F.col("position").alias("step"), "action", F.lit("action").alias("kind"), "ok")
+    back = ran.where("ok").join(end.where("not _all"), "saga_id").join(compensators.withColumnRenamed("ok", "_ok"), "action")
+    back = back.withColumn("step", 2 * F.col("_end") - F.col("position") + 1)
+    stopped = F.coalesce(F.max((~F.col("_ok")).cast("int")).over(Window.partitionBy("saga_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    back = back.withColumn("_bad", stopped).where("_bad = 0").select("saga_id", "step", F.col("compensator").alias("action"), F.lit("compensation").alias("kind"), F.col("_ok").alias("ok"))
+    return forward.unionByName(back).withColumn("status", F.when(F.col("ok"), "succeeded").otherwise("failed")).drop("ok")
+
+
 def saga_report(rows: DataFrame) -> DataFrame:
     """Numbers of (saga_id, kind, status) actions that succeeded, failed, and were compensated."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
