@@ -124,18 +124,19 @@ def test_hub_and_spokes(spark, monkeypatch):
         assert sorted(map(tuple, neardup.near_groups(df).collect())) == near(rows, 85)
 
 
-def test_pairs_beyond_the_hub(spark, monkeypatch):
+@pytest.mark.parametrize("pairs, group, block", [(24, 3, 3), (1100, neardup.GROUP_DOCS, neardup.BLOCK_DOCS)])
+def test_pairs_beyond_the_hub(spark, monkeypatch, pairs, group, block):
     """Pairs linked to nothing else in one family are found, whatever parts and blocks their two ends are dealt into."""
     base, rows = [f"b{i}" for i in range(120)], []
-    for i in range(24):
+    for i in range(pairs):
         w = list(base)
         for at in random.Random(i).sample(range(5, 115, 10), 3):
             w[at] = f"z{i}-{at}"
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, "end"]))]
     want = near(rows, 85)
-    assert sum(i != k for i, _, k, _ in want) == 24
-    monkeypatch.setattr(neardup, "GROUP_DOCS", 3)
-    monkeypatch.setattr(neardup, "BLOCK_DOCS", 3)
+    assert sum(i != k for i, _, k, _ in want) == pairs
+    monkeypatch.setattr(neardup, "GROUP_DOCS", group)
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", block)
     assert sorted(map(tuple, neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
 
 
@@ -255,7 +256,7 @@ def test_token_ids_equal_the_library(real):
     t = Tokenizer.from_file(tokens.tokenizer_path())
     texts = [x for _, x in EDGES] + ["a<|startoftext|>b", "é ́x", "'s's don't x\x1cy", "İ Σ"]
     texts += ["A.B. c'S. don't! é. é! ñ% 1.5%. ... a̸. ẞ. 'ſ! ². ab². 5́. ḰK!", "<|endoftext|>. <|ENDOFTEXT|>! a<|startoftext|>: WORD?!% ?A"] + [r.text for r in real.limit(50).collect()]
-    texts += [r"J\u030c H\u0331 T\u0308 W\u030a Y\u030a aJ\u030c. J\u030c! J\u030cA A\u0300B THE %".encode().decode("unicode_escape"), "THE CAFÉS. Café!"]
+    texts += [r"J\u030c H\u0331 T\u0308 W\u030a Y\u030a aJ\u030c. J\u030c! J\u030cA A\u0300B THE %".encode().decode("unicode_escape"), "THE CAFÉS. Café!", "Very long, WORDS and more. " * 80_000 + "x" * 5000]
     encode = tokens.WordEncoder(tokens.tokenizer_path(), keep=50)
     for run in (1, 300, encode.RUN):  # also where a run ends with the last text, and units leave and come back
         encode.RUN = run
