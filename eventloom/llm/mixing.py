@@ -179,9 +179,9 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)], "rate", copies.alias("copies"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, band: float = 0.0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domains: dict[str, str] | None = None, band: float = 0.0) -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says, with all their columns; rows with a null doc_id are left out."""
     name, times, copy = fresh(docs, "mixed_id"), fresh(docs, "copies"), fresh(docs, "copy")
-    rates = mixed(docs, labels, weights, band=band).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(times)).withColumnRenamed("doc_id", name)
+    rates = mixed(docs, labels, weights, domains, band).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(times)).withColumnRenamed("doc_id", name)
     taken = docs.join(rates, docs["doc_id"] == rates[name])
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
