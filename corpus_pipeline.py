@@ -37,12 +37,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, band: float = 0.0) -> DataFrame:
-    """Documents as often as the mixture's rates say: all tokens to what is neither toxic nor low.
+    """Documents as often as the mixture's rates say: all tokens to what is not toxic.
 
+    Low quality is no domain here: the first stage has judged it, and what it leaves of it has no words of its own, so that
+    a target of none would cost clean documents instead.
     Documents with a rate within ``band`` of 1 stay once. Null and empty texts have no tokens and the rate of the prior; rows with a
     null doc_id go.
     """
-    return mixing.resample(docs, _labels(spark, sf_dir), band=band)
+    return mixing.resample(docs, _labels(spark, sf_dir), domains={"toxic": "toxic = 1", "other": "true"}, band=band)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
