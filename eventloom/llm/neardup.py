@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WordHashes, fresh, hashed_words, in_groups, join_once, mix, table
+from .shared import WordHashes, fresh, hashed_words, in_groups, mix, table
 
 WIDTH = 5  # words a shingle
 ROWS, BANDS = 4, 16  # a pair at similarity 0.85 shares no band with probability 8e-6, one at 0.8 with 2e-4
@@ -185,11 +185,11 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     in blocks, so no link is lost and no group has to fit one task.
     """
     sketch = table(sketches(docs), "sketches")
-    distinct = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    distinct = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     banded = sketch.where("n_shingles > 0").select("doc_id", "set_key", "bands").join(distinct.select(F.col("set_key").alias("k"), "id"), (F.col("k") == F.col("set_key")) & (F.col("id") == F.col("doc_id")), "left_semi").dropDuplicates(["doc_id"])
     keys = table(banded.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "bands")
-    buckets = table(keys.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    stars = table(join_once(keys, buckets, "band").groupBy("id", "least").agg(F.sum("n").alias("weight")), "stars")
+    buckets = keys.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = table(keys.join(buckets, "band").groupBy("id", "least").agg(F.sum("n").alias("weight")), "stars")
     families = components(stars.select(F.col("id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("family"))
 
     sizes = sketch.select(F.col("doc_id").alias("id"), "n_shingles").dropDuplicates(["id"])
@@ -209,8 +209,7 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not member.where("parts > 1").isEmpty():
         edges = edges.unionByName(_beyond_hubs(sets, edges, percent))
 
-    repeated = table(distinct.where("n > 1"), "repeated")
-    copies = join_once(sketch.where("n_shingles > 0").select("doc_id", "set_key"), repeated, "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    copies = sketch.where("n_shingles > 0").join(distinct, "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     found = components(edges.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
     out = sketch.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
