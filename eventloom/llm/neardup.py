@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WordHashes, fresh, hashed_words, in_groups, mix, table
+from .shared import WordHashes, fresh, give_back, hashed_words, in_groups, mix, table
 
 WIDTH = 5  # words a shingle
 ROWS, BANDS = 4, 16  # a pair at similarity 0.85 shares no band with probability 8e-6, one at 0.8 with 2e-4
@@ -109,6 +109,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     for i, row in zip(full, band_keys(signatures([sets[i] for i in full])), strict=True):
                         bands[i] = row
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": bands})
+        give_back()
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
@@ -167,6 +168,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
             group = linked_groups([np.frombuffer(s, np.uint64) for s in pdf["shingles"]], percent, None if asked.all() else asked)
             least = pd.Series(ids).groupby(group).transform("min").to_numpy()
             yield pd.DataFrame({"a": ids, "b": least})[ids != least]
+        give_back()
 
     return members.repartition("family", "part").sortWithinPartitions("family", "part", "id").mapInPandas(run, "a long, b long")
 

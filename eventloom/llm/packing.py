@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import give_back, table
 from .tokens import encoder, tokenizer_path
 
 
@@ -86,6 +86,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
                     rows.append((None if pd.isna(doc_id) else int(doc_id), piece, a // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
             yield out.astype({"doc_id": "Int64"})
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, schema)
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, fresh, table, text_bytes
+from .shared import crc_mod, fresh, give_back, table, text_bytes
 
 #: Texts are compressed in chunks of so many bytes, so that the dictionaries matter for all of a long text.
 CHUNK = 4096
@@ -140,6 +140,7 @@ def score(documents: DataFrame, model: CompressionModel, keep: list[str] | None
         for batch in batches:
             x = np.array([size(t) for t in batch.column(text).to_pylist()], dtype=float)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(model.probability(x))], names=[*names, name])
+        give_back()
 
     return documents.select(*names, F.col("text").cast("string").alias(text)).mapInArrow(run, schema)
 

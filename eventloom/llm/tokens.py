@@ -104,7 +104,7 @@ class WordEncoder:
     #: Bytes of text that are looked up together.
     RUN = 2_000_000
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
