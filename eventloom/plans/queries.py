@@ -302,7 +302,7 @@ def overview_stream(spark, d):
     """Running counts of a stream in which a third of all events comes again."""
     path, out, rows = new_folder(spark, "events"), new_folder(spark, "overview"), raw_log(spark, d).select("id", "name", "ts")
     for part in (rows, rows.where(F.col("id").cast("bigint") % 3 == 0)):
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
         run_overview(spark.readStream.schema(rows.schema).parquet(path), out, out + "-checkpoint")
     return spark.read.parquet(out).groupBy("name").agg(F.max("n").alias("n"))
 
@@ -317,7 +317,7 @@ def workflow_service(spark, d):
     """Workflows on a stream: signup starts one, clicks dispatch a command a key, a purchase completes and an error fails it."""
     path, out = new_folder(spark, "events"), new_folder(spark, "workflows")
     rows = user_log(spark, d).select(F.col("aggregate_id").alias("workflow_id"), F.lpad("aggregate_version", 9, "0").alias("id"), "name", "time_ns", F.get_json_object("props", "$.k").alias("data"))
-    rows.coalesce(1).write.parquet(path)
+    rows.write.parquet(path)
     service = workflows.Service(
         start={"signup": lambda c, e: None},
         react={"click": lambda c, e: c.dispatch(str(e["data"]), "do", str(e["data"])), "purchase": lambda c, e: c.complete(), "error": lambda c, e: c.fail("error")},

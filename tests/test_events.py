@@ -276,6 +276,27 @@ def test_workflows_go_on_after_a_restart(spark, tmp_path):
     assert [(r.workflow_id, r.position, r.kind, r.key) for r in got] == [("w", 0, "started", None), ("w", 1, "trigger", None), ("w", 2, "command", "a"), ("w", 3, "trigger", None), ("w", 4, "command", "b"), ("w", 5, "trigger", None)]
 
 
+@pytest.mark.parametrize("name", ["workflow_service", "overview_stream"])
+def test_streamed_tables_are_written_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    """No task writes most of what a stream reads, and the stream gives the same over many files."""
+    for n in range(4):
+        rows = spark.read.parquet(f"{SF}/events.parquet").withColumns({"event_id": F.col("event_id") + n * 10_000, "user_id": F.col("user_id") + n * 10_000})
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    paths = {}
+    monkeypatch.setattr(plans, "new_folder", lambda spark, kind: paths.setdefault(kind, str(tmp_path / kind)))
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        got = {tuple(r) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(merging)
+    c = duckdb.connect()
+    c.sql(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == set(c.execute(plans.ORACLES[name]).fetchall())
+    files = [r[0] for r in c.execute(f"select count(*) from read_parquet('{paths['events']}/*.parquet', filename = true) group by filename").fetchall()]
+    assert len(files) >= 4 and max(files) < sum(files) / 2
+
+
 def test_repository(spark, tmp_path):
     calls: list[str] = []
     hooks = repository.Hooks(before=[lambda d: calls.append("before")], after=[lambda d: calls.append("after")], failed=[lambda d, e: calls.append(type(e).__name__)], deleted=[lambda n, i: calls.append(f"{n}({i})")])
